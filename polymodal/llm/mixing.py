@@ -38,7 +38,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budg
     """sizes (source, source_size), one row a source -> also target: budget times all sizes shared by weight, none above most times its own size.
 
     Sources in code point order, null last, weigh ``weights``, repeating. Sources that reach their limit in the order of limit / weight leave
-    the rest of the budget to the others by weight; these are prefix sums over one row a source.
+    the rest of the budget to the others by weight; these are prefix sums over one row a source. Past the first source below its limit the level only falls,
+    so the largest level of those below is the level of them all.
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     turn = Window.orderBy(F.col("__limit") / F.col("__w"), F.col("source").asc_nulls_last())
@@ -47,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budg
     before = F.coalesce(F.sum("__limit").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("__w").over(turn.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     t = t.withColumn("__level", (F.lit(budget) * F.sum("source_size").over(every) - before) / rest)
-    t = t.withColumn("__final", F.min(F.when(F.col("__limit") / F.col("__w") > F.col("__level"), F.struct(F.col("__limit") / F.col("__w"), "__level"))).over(every)["__level"])
+    t = t.withColumn("__final", F.max(F.when(F.col("__limit") / F.col("__w") > F.col("__level"), F.col("__level"))).over(every))
     return t.select("source", "source_size", F.least("__limit", F.coalesce(F.col("__final") * F.col("__w"), F.col("__limit"))).alias("target"))
 
 

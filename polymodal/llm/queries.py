@@ -85,7 +85,7 @@ WITH d AS (
   SELECT *, 2.0::DOUBLE * source_size / w AS ratio, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY 2.0::DOUBLE * source_size / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s
 ), t AS (
-  SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT arg_min(level, ratio) FROM l WHERE ratio > level) * w, 2.0::DOUBLE * source_size)) AS target FROM l
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce((SELECT max(level) FROM l WHERE ratio > level) * w, 2.0::DOUBLE * source_size)) AS target FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
 ), r AS (
