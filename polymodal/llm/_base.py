@@ -47,6 +47,12 @@ def _remove_written() -> None:
             return
 
 
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of all rows, for Arrow functions; batches of long texts are bounded by bytes, not only by rows."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -66,6 +72,8 @@ def crc32_le(ids: np.ndarray) -> int:
 #: Unicode White_Space, where both public pre-tokenizers always start a new piece.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+_SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+
 
 class TokenCoder:
     """Whole texts to ids (bytes of little-endian uint32) by a ``tokenizers`` file, remembering short chunks.
@@ -75,7 +83,7 @@ class TokenCoder:
     chunks' ids in a row. Any other pre-tokenizer gets whole texts.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 1_000_000
     LONGEST = 48
 
     def __init__(self, path: str):
@@ -96,32 +104,50 @@ class TokenCoder:
             self.cut = re.compile(f"[^{_WS}]+").findall
         else:
             self.cut = None
+        self.spaced = None
+        if before.get("type") == "ByteLevel" and self.cut is not None:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+            self.spaced[[i for x, i in vocab.items() if x[0] == "\u0120"]] = True  # how this vocabulary writes a space
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        chunks = [self.cut(x) for x in texts]
-        known = self.known
-        new = list({w for ws in chunks for w in ws if w not in known})
-        if not new:
-            return [b"".join(map(known.__getitem__, ws)) for ws in chunks]
-        fresh = {}
+        chunks, known = [self.cut(x) for x in texts], self.known
+        new = list(set().union(*chunks).difference(known))
+        if new:
+            known.update(self._encode(new))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in chunks]
+        if len(known) > self.REMEMBERED:  # what came last goes; the first seen are mostly the frequent ones
+            for w in new[-(len(known) - self.REMEMBERED) :]:
+                del known[w]
+        for w in new:
+            if len(w) > self.LONGEST:
+                known.pop(w, None)
+        return out
+
+    def _encode(self, new: list[str]) -> dict[str, bytes]:
+        out = {}
+        if self.spaced is not None:  # " word" chunks in a row are a text; each begins at its own space
+            plain, rest = [], []
+            for w in new:
+                (plain if w[0] == " " and len(w) > 1 and w[1] not in _SPACES else rest).append(w)
+            rows = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+            for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(row) for row in rows], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                raw, cut = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+                for w, p, q in zip(row, cut, [*cut[1:], len(raw)]):
+                    out[w] = raw[p:q]
+            new = rest
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(e.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
             for w, p, q in zip(part, ends, ends[1:]):
-                fresh[w] = raw[p:q]
-        room = self.REMEMBERED - len(known)
-        if room > 0:
-            short = {w: v for w, v in fresh.items() if len(w) <= self.LONGEST}
-            if len(short) > room:
-                short = dict(list(short.items())[:room])
-            known.update(short)
-        get = lambda w: known[w] if w in known else fresh[w]
-        return [b"".join(map(get, ws)) for ws in chunks]
+                out[w] = raw[p:q]
+        return out
 
 
 _coders: dict[str, TokenCoder] = {}
