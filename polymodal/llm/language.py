@@ -122,6 +122,12 @@ def held_out(id_col: str) -> F.Column:
 def training_samples(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> dict[str, str]:
     """A bounded sample of labelled rows: per language the rows first by hash of their id, as many as CHARS need."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), F.substring(F.col(text_col), 1, ROW_CHARS).alias("text"), F.xxhash64(F.col(order_col), F.lit(7)).alias("h"))
+    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return {}
+    # of each language only hashes below a bar that some 8 * ROWS rows pass reach the window, so its tasks stay as small at any size
+    bar = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1 << 32, (8 * ROWS << 32) // r["count"] + 1))))
+    rows = rows.where(F.shiftrightunsigned("h", 32) < bar[F.col("lang")])
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     kept = rows.withColumn("turn", turn).where(F.col("turn") <= ROWS)
     texts: dict[str, list[str]] = {}
@@ -158,6 +164,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", c
     with one language it is 1. Ties go to the first language by name. Repeated rows each give a row.
     """
     carry = ["doc_id"] if carry is None else carry
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
     given = docs.select(F.col(text_col).cast("string").alias("__text"), *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
     return given.mapInArrow(_predict(samples), f"{schema}, `__lang_pred` string, `__score` double")
