@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialise, sliced
+from ._base import materialise, sliced, text_rows
 
 SEED = 0x5EED
 #: Fingerprints in one block of the merged filter, about; the number of blocks follows the rows.
@@ -109,18 +109,19 @@ def _digests(batches):
     """(id, text) -> (id, row_no, fingerprint, sha256), in the input's order."""
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        texts = [_fold(x) for part in sliced(batch, 1) for x in part.column(1).to_pylist()]
-        n = len(texts)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(np.arange(row, row + n)),
-                _signed(np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in texts), np.uint64, n)),
-                pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
-            ],
-            names=["doc_id", "row_no", "fp", "sha"],
-        )
-        row += n
+        for part in sliced(batch, 1):
+            texts = [_fold(x) for x in part.column(1).to_pylist()]
+            n = len(texts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(np.arange(row, row + n)),
+                    _signed(np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in texts), np.uint64, n)),
+                    pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
+                ],
+                names=["doc_id", "row_no", "fp", "sha"],
+            )
+            row += n
 
 
 def _texts(batches):
@@ -168,7 +169,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     largest id stays (null ids are smallest); of rows repeated under that id exactly one is marked kept. Empty and very long texts are
     texts like others. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     narrow = materialise(rows.mapInArrow(_digests, "doc_id long, row_no long, fp long, sha binary"), "digests")
     repeated = materialise(repeated_fingerprints(narrow, narrow.count()), "repeated")
     verified = (

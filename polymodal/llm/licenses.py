@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import sliced
+from ._base import sliced, text_rows
 
 SHINGLE, LEAST, MISS, ROWS = 5, 0.8, 1e-4, 1
 REMEMBERED = 500_000
@@ -175,5 +175,5 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, shing
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     return rows.mapInArrow(_scan(templates if templates is not None else TEMPLATES, shingle, least), "doc_id long, template string, containment double, first_word long, n_windows long")

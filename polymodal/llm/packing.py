@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import coder, materialise, sliced
+from ._base import coder, materialise, sliced, text_rows
 
 CAPACITY = 2048
 FAN_IN = 16
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     if not 2 <= capacity <= 1 << 20:
         raise ValueError("capacity must be in 2..2**20")
     nearly = capacity - capacity // 64
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     level = materialise(rows.mapInArrow(_first_round(path, end_id, capacity, nearly, keep_ids), _SCHEMA), "round0")
     parts = max(1, len(level.inputFiles()))
     levels, number = [level], 0

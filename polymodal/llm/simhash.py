@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import materialise, sliced, without
+from ._base import materialise, sliced, text_rows, without
 
 TOP_BITS = 12
 #: A subtree with more fingerprints is split further, down to TOP_BITS levels.
@@ -196,7 +196,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and word-less texts have fingerprint zero and link like others; equal fingerprints always link. Null ids are never
     a component's id unless it has no other. Repeated rows and ids each give a row. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     narrow = materialise(rows.mapInArrow(_fingerprints(shingle, seed), "doc_id long, fp long"), "fingerprints")
     nodes = materialise(narrow.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     top = F.shiftrightunsigned("fp", 64 - TOP_BITS).cast("int")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import coder, materialise, shared_folder, sliced
+from ._base import coder, materialise, shared_folder, sliced, text_rows
 
 LENGTH = 2048
 BATCH = 64
@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, length: int =
     folder = folder or f"{shared_folder(spark)}/tokens"
     if "://" not in folder:
         folder = f"file://{folder.removeprefix('file:')}"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     done = materialise(dealt.mapInArrow(_write(folder, path, end_id, length), "shard int, n_tokens long"), "manifest")
     return folder, sorted((r["shard"], r["n_tokens"]) for r in done.collect())  # a row a shard
