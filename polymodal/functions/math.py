@@ -24,6 +24,9 @@ def idiv(a: str, b: str) -> str:
 
 _DEG = {"sind": "sin(radians({0}))", "cosd": "cos(radians({0}))", "tand": "tan(radians({0}))", "cotd": "1 / tan(radians({0}))", "asind": "degrees(asin({0}))", "acosd": "degrees(acos({0}))", "atand": "degrees(atan({0}))"}
 MACROS = {
+    "ceil": lambda x: f"CAST(ceil({x}) AS DOUBLE)",
+    "ceiling": lambda x: f"CAST(ceil({x}) AS DOUBLE)",
+    "floor": lambda x: f"CAST(floor({x}) AS DOUBLE)",
     "trunc": _trunc,
     "truncate": _trunc,
     "sqrt": lambda x: _guard(f"{x} < 0", f"sqrt({x})", "cannot take square root of a negative number"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..operators.recursive import cut
 
-_COUNT = F.count(F.lit(1))
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
@@ -35,14 +36,14 @@ def degree(edges: DataFrame, v: DataFrame | None = None, side: str = "src", norm
     """(nodeId, score): edges that leave (side src) or enter (dst) over n - 1; all zero when n < 2."""
     v = v if v is not None else vertices_of(edges)
     n = _n(v)
-    d = edges.groupBy(F.col(side).alias("id")).agg((F.sum("weight") if weight else _COUNT).alias("d"))
+    d = edges.groupBy(F.col(side).alias("id")).agg((F.sum("weight") if weight else _rows()).alias("d"))
     scale = 1.0 if not normalised or weight else (1.0 / (n - 1) if n > 1 else 0.0)
     return v.join(d, "id", "left").select(F.col("id").alias("nodeId"), (F.coalesce(F.col("d").cast("double"), F.lit(0.0)) * scale).alias("score"))
 
 
 def degree_distribution(edges: DataFrame, v: DataFrame | None = None) -> DataFrame:
     d = degree(edges, v, normalised=False)
-    return d.groupBy(F.col("score").cast("long").alias("degree")).agg(_COUNT.alias("count")).orderBy("degree")
+    return d.groupBy(F.col("score").cast("long").alias("degree")).agg(_rows().alias("count")).orderBy("degree")
 
 
 # ----------------------------------------------------------------- PageRank
@@ -78,7 +79,7 @@ def pagerank(edges: DataFrame, v: DataFrame | None = None, damping: float = 0.85
 
 def approximate_ppr(edges: DataFrame, source: int, tolerance: float = 1e-4, alpha: float = 0.15, most: int = 200) -> DataFrame:
     """Forward push from one node: residuals above tolerance times the out-degree move on, all in a round at once."""
-    out = cut(edges.groupBy("src").agg(_COUNT.cast("double").alias("out")))
+    out = cut(edges.groupBy("src").agg(_rows().cast("double").alias("out")))
     spark = edges.sparkSession
     state = spark.createDataFrame([(source, 0.0, 1.0)], "id long, p double, r double")
     hop = edges.select("src", "dst")
@@ -155,7 +156,7 @@ def connected_components(edges: DataFrame, v: DataFrame | None = None) -> DataFr
     now = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     before = None
     while True:
-        state = now.agg(_COUNT.alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        state = now.agg(_rows().alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
             break
         before = state
@@ -191,7 +192,8 @@ def strongly_connected_components(edges: DataFrame, v: DataFrame | None = None)
         found = cut(colour.where("id = c"))
         front = found
         while True:
-            back = front.join(inside, (front["id"] == inside["dst"]) & (front["c"] == inside["c"])).select(inside["src"].alias("id"), inside["c"]).distinct()
+            tip = front.select(F.col("id").alias("dst"), F.col("c").alias("fc"))
+            back = tip.join(inside, "dst").where("fc = c").select(F.col("src").alias("id"), "c").distinct()
             front = cut(back.join(found, "id", "left_anti"))
             if front.isEmpty():
                 break
@@ -210,7 +212,7 @@ def strongly_connected_components(edges: DataFrame, v: DataFrame | None = None)
 def _oriented(edges: DataFrame) -> DataFrame:
     """Each undirected edge once, from the end of smaller degree, so a hub's wedges stay few."""
     u = undirected(edges)
-    d = u.groupBy("src").agg(_COUNT.alias("d"))
+    d = u.groupBy("src").agg(_rows().alias("d"))
     both = u.join(d.withColumnRenamed("d", "ds"), "src").join(d.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
     return cut(both.where((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).select("src", "dst"))
 
@@ -225,22 +227,22 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def triangle_count(edges: DataFrame, v: DataFrame | None = None) -> DataFrame:
     v = v if v is not None else vertices_of(edges)
-    per = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(_COUNT.alias("t"))
+    per = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(_rows().alias("t"))
     return v.join(per, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce("t", F.lit(0)).alias("triangles"))
 
 
 def total_triangles(edges: DataFrame) -> DataFrame:
-    return triangles(edges).agg(_COUNT.alias("triangles"))
+    return triangles(edges).agg(_rows().alias("triangles"))
 
 
 def local_clustering(edges: DataFrame, v: DataFrame | None = None) -> DataFrame:
-    d = undirected(edges).groupBy(F.col("src").alias("nodeId")).agg(_COUNT.alias("d"))
+    d = undirected(edges).groupBy(F.col("src").alias("nodeId")).agg(_rows().alias("d"))
     t = triangle_count(edges, v).join(d, "nodeId", "left")
     return t.select("nodeId", F.when(F.col("d") > 1, 2.0 * F.col("triangles") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("coefficient"))
 
 
 def global_clustering(edges: DataFrame) -> DataFrame:
-    wedges = undirected(edges).groupBy("src").agg(_COUNT.alias("d")).agg(F.coalesce(F.sum(F.col("d") * (F.col("d") - 1) / 2), F.lit(0.0)).alias("w"))
+    wedges = undirected(edges).groupBy("src").agg(_rows().alias("d")).agg(F.coalesce(F.sum(F.col("d") * (F.col("d") - 1) / 2), F.lit(0.0)).alias("w"))
     return total_triangles(edges).crossJoin(wedges).select(F.when(F.col("w") > 0, 3.0 * F.col("triangles") / F.col("w")).otherwise(0.0).alias("coefficient"))  # one row by one row
 
 
@@ -259,9 +261,9 @@ def pair_similarity(edges: DataFrame, a: int, b: int, metric: str) -> DataFrame:
     """(score) of two nodes' out-neighbour sets: jaccard, overlap or adamic_adar."""
     x = _neighbours(edges, a).withColumn("x", F.lit(1)).join(_neighbours(edges, b).withColumn("y", F.lit(1)), "nodeId", "full")
     if metric == "adamic_adar":
-        d = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("nodeId")).agg(_COUNT.alias("d"))
+        d = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("nodeId")).agg(_rows().alias("d"))
         return common_neighbors(edges, a, b).join(d, "nodeId").where("d > 1").agg(F.coalesce(F.sum(1 / F.log("d")), F.lit(0.0)).alias("score"))
-    both, na, nb = F.count_if("x = 1 AND y = 1"), F.count_if("x = 1"), F.count_if("y = 1")
+    both, na, nb = F.count_if(F.expr("x = 1 AND y = 1")), F.count_if(F.expr("x = 1")), F.count_if(F.expr("y = 1"))
     value = both / F.nullif(na + nb - both, F.lit(0)) if metric == "jaccard" else both / F.nullif(F.least(na, nb), F.lit(0))
     return x.agg(F.coalesce(value, F.lit(0.0)).alias("score"))
 
@@ -269,8 +271,8 @@ def pair_similarity(edges: DataFrame, a: int, b: int, metric: str) -> DataFrame:
 def neighbour_pairs(edges: DataFrame, metric: str = "jaccard", hub: int | None = None) -> DataFrame:
     """(a, b, score), a < b, of all pairs with a common out-neighbour."""
     e = cut(edges.select("src", "dst").distinct())
-    d = e.groupBy("src").agg(_COUNT.alias("d"))
-    indeg = e.groupBy("dst").agg(_COUNT.alias("k"))
+    d = e.groupBy("src").agg(_rows().alias("d"))
+    indeg = e.groupBy("dst").agg(_rows().alias("k"))
     weight = F.lit(1.0)
     if metric == "adamic_adar":
         m = e.join(d.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst", "left").where("dd > 1").select("src", "dst", (1 / F.log("dd")).alias("w"))
@@ -375,7 +377,7 @@ def closeness(edges: DataFrame, v: DataFrame | None = None, kind: str = "plain")
     """(nodeId, score): (r - 1) / sum of distances over the r nodes reached; wf: times (r - 1) / (n - 1); harmonic: sum of 1 / distance."""
     v = cut(v if v is not None else vertices_of(edges))
     n = _n(v)
-    d = distances(edges, v).where("source <> id").groupBy(F.col("source").alias("id")).agg(_COUNT.alias("r"), F.sum("distance").alias("s"), F.sum(1 / F.col("distance")).alias("h"))
+    d = distances(edges, v).where("source <> id").groupBy(F.col("source").alias("id")).agg(_rows().alias("r"), F.sum("distance").alias("s"), F.sum(1 / F.col("distance")).alias("h"))
     plain = F.col("r") / F.col("s")
     value: Column = {"plain": plain, "wf": plain * F.col("r") / F.lit(max(n - 1, 1)), "harmonic": F.col("h")}[kind]
     return v.join(d, "id", "left").select(F.col("id").alias("nodeId"), F.coalesce(value, F.lit(0.0)).alias("score"))
@@ -391,7 +393,7 @@ def core_numbers(edges: DataFrame, v: DataFrame | None = None) -> DataFrame:
     left, out, k = v, None, 0
     while not left.isEmpty():
         while True:
-            d = e.groupBy(F.col("src").alias("id")).agg(_COUNT.alias("d"))
+            d = e.groupBy(F.col("src").alias("id")).agg(_rows().alias("d"))
             low = cut(left.join(d, "id", "left").where(F.coalesce("d", F.lit(0)) <= k).select("id"))
             if low.isEmpty():
                 break
@@ -440,8 +442,8 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     u = undirected(edges)
     c = communities.select("id", "community")
     j = u.join(c.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(c.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
-    per = j.groupBy("cs").agg(_COUNT.cast("double").alias("deg"), F.count_if("cs = cd").cast("double").alias("inside"))
-    total = j.agg(_COUNT.cast("double").alias("m2"))
+    per = j.groupBy("cs").agg(_rows().cast("double").alias("deg"), F.count_if(F.expr("cs = cd")).cast("double").alias("inside"))
+    total = j.agg(_rows().cast("double").alias("m2"))
     return per.crossJoin(total).agg(F.coalesce(F.sum(F.col("inside") / F.col("m2") - F.pow(F.col("deg") / F.col("m2"), F.lit(2.0))), F.lit(0.0)).alias("modularity"))  # by one row
 
 
@@ -449,8 +451,8 @@ def conductance(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """(nodeId, score): for each node its community's cut over the smaller volume of it and the rest, volumes being out-degrees."""
     c = communities.select("id", "community")
     j = edges.join(c.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(c.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
-    per = j.groupBy("cs").agg(_COUNT.cast("double").alias("vol"), F.count_if("cs <> cd").cast("double").alias("cut"))
-    total = j.agg(_COUNT.cast("double").alias("all"))
+    per = j.groupBy("cs").agg(_rows().cast("double").alias("vol"), F.count_if(F.expr("cs <> cd")).cast("double").alias("cut"))
+    total = j.agg(_rows().cast("double").alias("all"))
     small = F.least(F.col("vol"), F.col("all") - F.col("vol"))
     scores = per.crossJoin(total).select("cs", F.when(small > 0, F.col("cut") / small).otherwise(0.0).alias("score"))
     return c.join(scores, c["community"] == scores["cs"], "left").select(F.col("id").alias("nodeId"), F.coalesce("score", F.lit(0.0)).alias("score"))

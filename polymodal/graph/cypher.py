@@ -105,7 +105,7 @@ def _prepare(items: list, bound: dict) -> list:
                     out.append(_raw(f"array({', '.join(expr(p, bound) for p in split(x.items))})"))
             else:
                 out.append(Group("(", _prepare(x.items, bound)))
-        elif x.kind == "id" and isinstance(nxt, Group) and nxt.open == "(" and x.up() not in dialect._STOP | {"ANY", "ALL", "EXISTS"} or x.kind == "id" and isinstance(nxt, Group) and nxt.open == "(" and x.up() in ("ANY", "ALL", "NONE", "SINGLE", "EXISTS", "LEFT", "RIGHT"):
+        elif x.kind == "id" and isinstance(nxt, Group) and nxt.open == "(" and x.up() not in dialect._STOP | {"ANY", "ALL", "EXISTS"} or x.kind == "id" and isinstance(nxt, Group) and nxt.open == "(" and x.up() in ("ANY", "ALL", "NONE", "SINGLE", "EXISTS", "LEFT", "RIGHT", "RANGE"):
             low = x.text.lower()
             k, w = find(nxt.items, "IN"), find(nxt.items, "WHERE")
             if low in ("any", "all", "none", "single") and k == 1 and w > 0:
@@ -251,13 +251,6 @@ class Query:
             out = one if out is None else out & one
         return out
 
-    def scan(self, n: Node) -> DataFrame:
-        t = self.graph.node_table(n.labels[:1] or None)
-        df = t.select(F.struct("*").alias(n.var))
-        test = self.props(n.var, n.props)
-        self_bound = self.bound
-        return df if test is None or any(v in str(n.props) for v in self_bound) and False else df.where(test)
-
     def add_node(self, n: Node) -> None:
         if n.var in self.bound:
             test = self.props(n.var, n.props)
@@ -288,7 +281,7 @@ class Query:
     def expand(self, a: Node, r: Rel, b: Node) -> None:
         if r.hops is None:
             e = self.edges(r)
-            at = self.df[a.var] if False else F.col(f"`{a.var}`.__id")
+            at = F.col(f"`{a.var}`.__id")
             j = self.df.join(e, (at == F.col("__f")) & (F.col("__fl").isNull() | (F.col(f"`{a.var}`.__label") == F.col("__fl"))))
             kind = F.col("__e")
         else:
@@ -427,7 +420,6 @@ class Query:
         if before is None:
             before = self.graph.engine.spark.range(1).select(F.lit(1).alias("__one"))
             bound = {}
-        self.df = before.withColumn("__row", F.monotonically_increasing_id()) if False else before
         keys = list(bound)
         inner = Query(self.graph)
         inner.fresh = self.fresh

@@ -67,8 +67,8 @@ def top_k_ids(df: DataFrame, column: str, query: Sequence[float], k: int, metric
 
 def prefetch_hits(df: DataFrame, coarse: str, fine: str, query: Sequence[float], k: int, prefetch: int | None = None, metric: str = "l2", id_col: str = "id", coarse_query: Sequence[float] | None = None) -> DataFrame:
     """A coarse pass over one column keeps ``prefetch`` rows, an exact one over another ranks them."""
-    first = top_k_hits(df, coarse, coarse_query or query, prefetch or 4 * k, metric, id_col, options={"with_payload": [fine]})
-    return top_k_hits(first.select("id", F.col(f"payload.{fine}").alias(fine)), fine, query, k, metric)
+    first = top_k_hits(df.withColumn("__fine", F.col(fine)), coarse, coarse_query or query, prefetch or 4 * k, metric, id_col, options={"with_payload": ["__fine"]})
+    return top_k_hits(first.select("id", F.col("payload.__fine").alias(fine)), fine, query, k, metric)
 
 
 def recommend_hits(df: DataFrame, column: str, positive: Sequence, negative: Sequence, k: int, metric: str = "cosine", id_col: str = "id", options: dict | None = None) -> DataFrame:
