@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import sliced
+from ._base import only, remembers, sliced, text_rows
 
 VOCABULARY_BITS, PAIR_BITS = 18, 20
 #: Counts that the unigram model weighs in the bigram model, and that each word of the vocabulary has beforehand.
@@ -50,6 +50,7 @@ def cells(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """(text, in_target) -> (kind, cell, background, target): this partition's sums. Kinds: 0 words, 1 words as context, 2 pairs."""
+    only("lm")
     sizes = (1 << VOCABULARY_BITS, 1 << VOCABULARY_BITS, 1 << PAIR_BITS)
     total = [np.zeros((2, n), np.int64) for n in sizes]
     for batch in batches:
@@ -82,44 +83,47 @@ class Model:
         self.counts = counts  # [kind][corpus][cell]
         self.total = [float(counts[0][c].sum()) for c in (0, 1)]
 
-    def score(self, text: str | None, in_target: bool) -> tuple[int, float | None, float | None]:
-        """Words, and the mean loss of a word in nats under target and background; None without words or without a target."""
+    def score(self, text: str | None) -> tuple[int, float | None, float | None, float | None]:
+        """Words, and the mean loss of a word in nats under the background, under the target, and under the target if the text is part of it; None without words or without a target."""
         ids = tokens(text)
         n = len(ids)
         if not n or not self.total[1]:
-            return n, None, None
+            return n, None, None, None
         before, cell = cells(ids)
         own = []
         for x in (ids, before, cell):
             _, place, many = np.unique(x, return_inverse=True, return_counts=True)
             own.append(many[place])
-        loss = []
-        for corpus in (1, 0):
-            less = 1.0 if corpus == 0 or in_target else 0.0
-            total = self.total[corpus] - less * n
-            scale = 1.0 if corpus else max(self.total[1] - (n if in_target else 0), 1.0) / max(total, 1.0)
-            word, context, pair = (np.maximum(self.counts[k][corpus][x] - less * own[k], 0) * scale for k, x in enumerate((ids, before, cell)))
-            size = 1 << VOCABULARY_BITS
-            p = (word + BEFOREHAND) / (max(total * scale, 0.0) + BEFOREHAND * size)
-            p = (np.minimum(pair, context) + BACK_OFF * p) / (context + BACK_OFF)
-            loss.append(float(-np.log(p).mean()))
-        return n, loss[0], loss[1]
+        given = [[self.counts[k][c][x] for k, x in enumerate((ids, before, cell))] for c in (0, 1)]
+        within = [np.maximum(g - o, 0) for g, o in zip(given[1], own)]
+        rest = [np.maximum(g - o, 0) for g, o in zip(given[0], own)]
+        total, target, less = max(self.total[0] - n, 1.0), self.total[1], max(self.total[1] - n, 0.0)
+        return n, self._loss(rest, total, target / total), self._loss(given[1], target, 1.0), self._loss(within, less, 1.0)
+
+    @staticmethod
+    def _loss(counts: list[np.ndarray], total: float, scale: float) -> float:
+        word, context, pair = (c * scale for c in counts)
+        p = (word + BEFOREHAND) / (total * scale + BEFOREHAND * (1 << VOCABULARY_BITS))
+        p = (np.minimum(pair, context) + BACK_OFF * p) / (context + BACK_OFF)
+        return float(-np.log(p).mean())
 
 
 _models: dict[int, Model] = {}
+remembers("lm", _models, _ids)
 
 
 def _score(shared):
     def run(batches):
+        only("lm")
         if shared.id not in _models:
             _models.clear()
             _models[shared.id] = Model(shared.value)
         model = _models[shared.id]
         for batch in batches:
-            got = [model.score(x, bool(f)) for part in sliced(batch, 1) for x, f in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-            target, background = ([x[k] for x in got] for k in (1, 2))
-            diff = [None if t is None else t - b for t, b in zip(target, background)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.int64()), *(pa.array(x, pa.float64()) for x in (target, background, diff)), batch.column(2)], names=["doc_id", "n_tokens", "ce_target", "ce_background", "score", "in_target"])
+            for part in sliced(batch, 1):
+                got = [model.score(x) for x in part.column(1).to_pylist()]
+                losses = [pa.array([x[k] for x in got], pa.float64()) for k in (1, 2, 3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in got], pa.int64()), *losses], names=["doc_id", "n_tokens", "background", "outside", "within"])
 
     return run
 
@@ -145,10 +149,14 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     scores, and so has every text if the target has no words. Rows with a null id are never in the target; repeated rows count and are scored as often as they occur.
     """
     ids = targets.select(F.col(targets.columns[0]).cast("long").alias("__t")).where("__t is not null").distinct()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(ids, rows["doc_id"] == ids["__t"], "left").select("doc_id", "text", F.col("__t").isNotNull().alias("in_target"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(rows.select("text", "in_target")))
-    return rows.mapInArrow(_score(_Held(shared)), "doc_id long, n_tokens long, ce_target double, ce_background double, score double, in_target boolean")
+    rows = text_rows(docs, id_col, text_col)
+    # the ids grow with the corpus, so texts and ids meet in a shuffle at any size; scores need no text and are joined after
+    flagged = rows.join(ids.hint("merge"), rows["doc_id"] == ids["__t"], "left").select("text", F.col("__t").isNotNull().alias("in_target"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(flagged))
+    scored = rows.mapInArrow(_score(_Held(shared)), "doc_id long, n_tokens long, background double, outside double, within double")
+    out = scored.join(ids, scored["doc_id"] == ids["__t"], "left").withColumn("in_target", F.col("__t").isNotNull())
+    target = F.when(F.col("in_target"), F.col("within")).otherwise(F.col("outside"))
+    return out.select("doc_id", "n_tokens", target.alias("ce_target"), F.col("background").alias("ce_background"), (target - F.col("background")).alias("score"), "in_target")
 
 
 class _Held:
