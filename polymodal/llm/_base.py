@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -63,10 +66,26 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
 
 
-def crc32_le(ids: np.ndarray) -> int:
-    import zlib
+_caches: dict[str, list] = {}
+_owner: list[str] = []
 
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
+
+def remembers(name: str, *caches) -> None:
+    """Says that an operator's functions keep these dicts in a worker from task to task."""
+    _caches.setdefault(name, []).extend(caches)
+
+
+def only(name: str) -> None:
+    """At the start of an operator's function in a worker: what other operators remembered there goes, so a pipeline's memory is that of its largest stage."""
+    if _owner != [name]:
+        _owner[:] = [name]
+        for other, caches in _caches.items():
+            if other != name:
+                for c in caches:
+                    c.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 #: Unicode White_Space, where both public pre-tokenizers always start a new piece.
@@ -151,11 +170,13 @@ class TokenCoder:
 
 
 _coders: dict[str, TokenCoder] = {}
+remembers("tokens", _coders)
 
 
 def coder(path: str) -> TokenCoder:
     """One coder a worker process and file."""
     if path not in _coders:
+        only("tokens")
         _coders[path] = TokenCoder(path)
     return _coders[path]
 

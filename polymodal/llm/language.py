@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import materialise, sliced
+from ._base import materialise, only, remembers, sliced
 
 #: Bounds of the sample a model learns from: languages, rows a language, characters a row and characters a language.
 LANGUAGES, ROWS, ROW_CHARS, CHARS = 64, 400, 1500, 40_000
@@ -139,12 +139,14 @@ def training_samples(labelled: DataFrame, text_col: str = "text", lang_col: str
 
 
 _parsers: dict[int, CrossParser] = {}
+remembers("language", _parsers)
 
 
 def _predict(samples: dict[str, str]):
     mark = hash(tuple(sorted(samples.items())))
 
     def run(batches):
+        only("language")
         if mark not in _parsers:
             _parsers.clear()
             _parsers[mark] = CrossParser(samples)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import materialise, sliced, text_rows, without
+from ._base import materialise, only, sliced, text_rows, without
 
 TOP_BITS = 12
 #: A subtree with more fingerprints is split further, down to TOP_BITS levels.
@@ -43,6 +43,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(shingle: int, seed: int):
     def run(batches):
+        only("simhash")
         for batch in batches:
             got = [fingerprint(x, shingle, seed) for part in sliced(batch, 1) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], names=["doc_id", "fp"])
