@@ -87,7 +87,7 @@ def _timezone(zone, t):
 
 
 def _time(h, m, s):
-    return f"CAST(({h} * 3600 + {m} * 60 + {s}) * 1000000 AS BIGINT)"
+    return f"CAST(({h} * 3600 + {m} * 60 + {s}) * 1000000L AS BIGINT)"
 
 
 _NOW = {k: (lambda *_: "current_timestamp()") for k in ("now", "current_timestamp", "clock_timestamp", "statement_timestamp", "transaction_timestamp")}
