@@ -1,6 +1,6 @@
 """License scans: MinHash bands over overlapping text windows find templates, exact shingle containment verifies them.
 
-Templates fall into classes by their length in shingles (powers of four). For a class of length p a text is cut into blocks of p shingles, and
+Templates fall into classes by their length in shingles (powers of four). For a class whose longest has p a text is cut into blocks of p shingles, and
 each window is two neighbouring blocks, so any run of p shingles lies within a window. Bands are single rows, and as many as it takes for a window that
 holds at least ``least`` of a template to share a band with it but for a chance of MISS. Block minima are computed once and
 serve all windows; the verification then looks at the window and one block on either side.
@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import sliced, text_rows
+from ._base import only, remembers, sliced, text_rows
 
 SHINGLE, LEAST, MISS, ROWS = 5, 0.8, 1e-4, 1
 REMEMBERED = 500_000
+#: Words of texts that go through the bands together, so that arrays stay in a core's cache.
+GROUP = 1 << 15
 
 #: Short public notices by which works name their licence.
 TEMPLATES: dict[str, str] = {
@@ -55,17 +57,20 @@ class _Ids(dict):
 _ids = _Ids()
 
 
+def _mix(ids: np.ndarray, k: int) -> np.ndarray:
+    n = len(ids) - k + 1
+    h = np.full(max(n, 0), k, np.uint64)
+    for i in range(k if n > 0 else 0):
+        h = (h ^ ids[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def shingles(ws: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """63-bit marks of all runs of k words (of the whole text, if it has fewer; none, if it has no word)."""
+    """Marks of all runs of k words (of the whole text, if it has fewer; none, if it has no word)."""
     if not ws:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_ids.__getitem__, ws), np.uint64, len(ws))
-    k = min(k, len(ws))
-    h = np.full(len(ws) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = (h ^ ids[i : len(ws) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
+    return _mix(np.fromiter(map(_ids.__getitem__, ws), np.uint64, len(ws)), min(k, len(ws)))
 
 
 def bands_for(jaccard: float, miss: float = MISS, rows: int = ROWS) -> int:
@@ -97,21 +102,26 @@ class Class:
         out = np.empty((self.bands, len(starts)), np.uint64)
         for b in range(self.bands):
             x = (h ^ self.add[b]) * self.mul[b]
-            out[b] = np.minimum.reduceat(x ^ (x >> np.uint64(31)), starts)
+            x ^= x >> np.uint64(31)
+            out[b] = np.minimum.reduceat(x, starts)
         return out
 
-    def candidates(self, h: np.ndarray):
-        """(first block, template's place) of windows that share a band with a template."""
-        starts = np.arange(0, len(h), self.p)
-        block = self.minima(h, starts)
-        window = np.minimum(block[:, :-1], block[:, 1:]) if len(starts) > 1 else block
+    def candidates(self, h: np.ndarray, first: np.ndarray, size: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, block of its own, template's place) of windows that share a band with a template; text d has shingles first[d] to first[d] + size[d]."""
+        blocks = -(-size // self.p)
+        text = np.repeat(np.arange(len(size)), blocks)
+        own = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        block = self.minima(h, first[text] + own * self.p)
+        follows = np.flatnonzero(text[1:] == text[:-1])
         found = set()
         for b, (values, names) in enumerate(self.lookup):
-            at = np.minimum(np.searchsorted(values, window[b]), len(values) - 1)
-            for w in np.flatnonzero(values[at] == window[b]).tolist():
+            window = block[b].copy()
+            window[follows] = np.minimum(window[follows], block[b][follows + 1])
+            at = np.minimum(np.searchsorted(values, window), len(values) - 1)
+            for w in np.flatnonzero(values[at] == window).tolist():
                 k = int(at[w])
-                while k < len(values) and values[k] == window[b, w]:
-                    found.add((w, int(names[k])))
+                while k < len(values) and values[k] == window[w]:
+                    found.add((int(text[w]), int(own[w]), int(names[k])))
                     k += 1
         return found
 
@@ -123,43 +133,65 @@ class Scanner:
         for name, text in templates.items():
             m = np.unique(shingles(words(text), shingle))
             if len(m):
-                p = 4 ** max(0, math.ceil(math.log(len(m), 4) - 1e-9))
-                by.setdefault(p, {})[name] = m
-        self.classes = [Class(p, marks, least) for p, marks in sorted(by.items())]
-
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(template, containment, first word, windows) of each template found, the best window's containment and place."""
-        ws = words(text)
-        if not ws:
-            return []
-        h = shingles(ws, self.shingle)
-        best: dict[str, tuple[float, int, int]] = {}
+                by.setdefault(math.ceil(math.log(len(m), 4) - 1e-9), {})[name] = m
+        self.classes = [Class(max(map(len, marks.values())), marks, least) for _, marks in sorted(by.items())]
+
+    def scan(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """Per text (template, containment, first word, windows) of each template found, the best window's containment and place. Texts go through the bands a group at a time."""
+        ws = [words(x) for x in texts]
+        out: list[list] = [[] for _ in texts]
+        group, held = [], 0
+        for i, w in enumerate(ws):
+            if w:
+                group.append(i)
+                held += len(w)
+            if group and (held >= GROUP or i == len(ws) - 1):
+                self._group(group, ws, out)
+                group, held = [], 0
+        if group:
+            self._group(group, ws, out)
+        return out
+
+    def _group(self, group: list[int], ws: list, out: list) -> None:
+        size = np.array([max(1, len(ws[i]) - self.shingle + 1) for i in group])
+        rows = np.array([len(ws[i]) for i in group])
+        flat = _mix(np.fromiter((_ids[w] for i in group for w in ws[i]), np.uint64, int(rows.sum())), self.shingle)
+        at = np.cumsum(rows) - rows
+        first = np.cumsum(size) - size
+        h = np.zeros(int(size.sum()), np.uint64)
+        place = np.repeat(at - first, size) + np.arange(len(h))
+        real = np.repeat(rows >= self.shingle, size)
+        h[real] = flat[place[real]]
+        for d in np.flatnonzero(rows < self.shingle).tolist():
+            h[first[d]] = shingles(ws[group[d]], self.shingle)[0]
+        best: dict[tuple[int, str], tuple[float, int, int]] = {}
         for c in self.classes:
-            for w, k in sorted(c.candidates(h)):
-                name = c.names[k]
-                lo = max(0, (w - 1) * c.p)
-                near = h[lo : (w + 3) * c.p]
+            for d, w, k in sorted(c.candidates(h, first, size)):
+                name, lo = c.names[k], max(0, (w - 1) * c.p)
+                near = h[first[d] + lo : first[d] + min(size[d], (w + 3) * c.p)]
                 hit = np.isin(near, c.marks[name])
                 share = len(np.unique(near[hit])) / len(c.marks[name])
                 if share >= self.least:
-                    was = best.get(name, (0.0, 0, 0))
-                    now = (share, lo + int(hit.argmax()), was[2] + 1)
-                    best[name] = now if share > was[0] else (*was[:2], was[2] + 1)
-        return [(n, *v) for n, v in sorted(best.items())]
+                    was = best.get((d, name), (0.0, 0, 0))
+                    best[d, name] = (share, lo + int(hit.argmax()), was[2] + 1) if share > was[0] else (*was[:2], was[2] + 1)
+        for (d, name), v in sorted(best.items()):
+            out[group[d]].append((name, *v))
 
 
 _scanners: dict[tuple, Scanner] = {}
+remembers("licenses", _scanners, _ids)
 
 
 def _scan(templates: dict[str, str], shingle: int, least: float):
     key = (hash(tuple(sorted(templates.items()))), shingle, least)
 
     def run(batches):
+        only("licenses")
         if key not in _scanners:
             _scanners[key] = Scanner(templates, shingle, least)
         for batch in batches:
             for part in sliced(batch, 1):
-                rows = [(d, *x) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for x in _scanners[key].scan(t)]
+                rows = [(d, *x) for d, found in zip(part.column(0).to_pylist(), _scanners[key].scan(part.column(1).to_pylist())) for x in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "template", "containment", "first_word", "n_windows"])
 
