@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_CASTS = {"int2": "SMALLINT", "int4": "INT", "int8": "BIGINT", "oid": "BIGINT", "float4": "FLOAT", "float8": "DOUBLE", "numeric": "DECIMAL(38, 10)", "bool": "BOOLEAN", "text": "STRING", "varchar": "STRING", "bpchar": "STRING", "name": "STRING", "bytea": "BINARY", "uuid": "STRING", "money": "DECIMAL(19, 2)", "timestamptz": "TIMESTAMP", "timestamp": "TIMESTAMP_NTZ", "json": "STRING", "jsonb": "STRING", "cidr": "STRING", "pg_lsn": "STRING"}
+_CASTS = {"int2": "SMALLINT", "int4": "INT", "int8": "BIGINT", "oid": "BIGINT", "float4": "FLOAT", "float8": "DOUBLE", "numeric": "DECIMAL(38, 10)", "bool": "BOOLEAN", "text": "STRING", "varchar": "STRING", "bpchar": "STRING", "name": "STRING", "bytea": "BINARY", "uuid": "STRING", "money": "DECIMAL(19, 2)", "timestamptz": "TIMESTAMP", "timestamp": "TIMESTAMP_NTZ", "json": "STRING", "jsonb": "STRING", "cidr": "STRING", "pg_lsn": "STRING", "inet": "STRING", "bit": "STRING", "varbit": "STRING", "xml": "STRING", "timetz": "BIGINT"}
 _BOOLEAN = "(CASE lower(trim(CAST({0} AS STRING))) WHEN 'true' THEN true WHEN 'false' THEN false {1} END)"
 
 
@@ -12,6 +12,7 @@ def _strict(x, kind):
 
 MACROS = {
     **{k: (lambda x, *_, t=t: f"CAST({x} AS {t})") for k, t in _CASTS.items()},
+    "interval": lambda x: f"CAST({x} AS INTERVAL DAY TO SECOND)",
     "toboolean": lambda x: _BOOLEAN.format(x, ""),
     "tobooleanornull": lambda x: _BOOLEAN.format(x, ""),
     "tointeger": lambda x: f"CAST(try_cast({x} AS DOUBLE) AS BIGINT)",

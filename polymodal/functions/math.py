@@ -68,13 +68,35 @@ MACROS = {
     "boolor_statefunc": lambda a, b: f"({a} OR {b})",
     "booland_statefunc": lambda a, b: f"({a} AND {b})",
     **{k: (lambda a, b, o=o: f"({a} {o} {b})") for k, o in (("booleq", "="), ("boolne", "<>"), ("boollt", "<"), ("boolgt", ">"), ("boolle", "<="), ("boolge", ">="))},
-    **{k: (lambda x: f"hash({x})") for k in "hashfloat4 hashfloat8 hashint2 hashint4 hashint8 hashtext hashname hashoid hashbpchar hashchar hashenum hash_numeric hash_array hash_record hash_range hash_multirange time_hash interval_hash hashinet hashmacaddr hashmacaddr8 hashoidvector".split()},
+    **{k: (lambda x: f"hash({x})") for k in "hashfloat4 hashfloat8 hashint2 hashint4 hashint8 hashtext hashname hashoid hashbpchar hashchar hashenum hash_numeric hash_array hash_record hash_range hash_multirange time_hash interval_hash hashinet hashmacaddr hashmacaddr8 hashoidvector timestamp_hash timetz_hash uuid_hash pg_lsn_hash hash_aclitem".split()},
+    **{k: (lambda x, seed="0L": f"xxhash64({x}, {seed})") for k in "hashfloat4extended hashfloat8extended hashint2extended hashint4extended hashint8extended hashtextextended hashbpcharextended hashcharextended hashenumextended hashinetextended hashmacaddrextended hashmacaddr8extended hashnameextended hashoidextended hashoidvectorextended hash_record_extended hash_array_extended hash_range_extended hash_multirange_extended".split()},
+    "xid8cmp": lambda a, b: f"CAST(sign(CAST({a} AS BIGINT) - CAST({b} AS BIGINT)) AS INT)",
+    "cash_words": lambda x: f"pm_cash_words(CAST({x} AS DOUBLE))",
 }
 
 
+_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "- - twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+def number_words(n: int) -> str:
+    for size, name in ((10**12, "trillion"), (10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred")):
+        if n >= size:
+            return f"{number_words(n // size)} {name}" + (f" {number_words(n % size)}" if n % size else "")
+    return _ONES[n] if n < 20 else _TENS[n // 10] + (f" {_ONES[n % 10]}" if n % 10 else "")
+
+
+def cash_words(x: float) -> str:
+    cents = round(abs(x) * 100)
+    d, c = divmod(cents, 100)
+    text = f"{number_words(d)} dollar{'s' if d != 1 else ''} and {number_words(c)} cent{'s' if c != 1 else ''}"
+    text = f"minus {text}" if x < 0 else text
+    return text[0].upper() + text[1:]
+
+
 def udfs():
     import math
 
     from ._udf import elementwise
 
-    return {"pm_erf": elementwise(lambda x: math.erf(x), "double")}
+    return {"pm_erf": elementwise(lambda x: math.erf(x), "double"), "pm_cash_words": elementwise(cash_words, "string")}

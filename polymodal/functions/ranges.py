@@ -82,8 +82,8 @@ def join_sorted(rows):
 _DISCRETE = {"int4range": "1", "int8range": "1L", "daterange": "1"}
 MACROS = {
     **{k: (lambda a, b, c="'[)'", k=k: build(a, b, c, True, _DISCRETE[k])) for k in _DISCRETE},
-    **{k: (lambda a, b, c="'[)'": build(a, b, c)) for k in ("numrange", "tsrange", "tstzrange", "float8range", "textrange")},
-    **{k: multirange for k in ("int4multirange", "int8multirange", "nummultirange", "datemultirange", "tsmultirange", "tstzmultirange", "float8multirange", "multirange", "textmultirange")},
+    **{k: (lambda a, b, c="'[)'": build(a, b, c)) for k in ("numrange", "tsrange", "tstzrange", "float8range", "textrange", "textrange1", "textrange2", "textrange_c", "textrange_en_us", "arrayrange", "two_ints_range")},
+    **{k: multirange for k in ("int4multirange", "int8multirange", "nummultirange", "datemultirange", "tsmultirange", "tstzmultirange", "float8multirange", "multirange", "textmultirange", "arraymultirange", "intr_multirange", "two_ints_multirange")},
     "isempty": lambda r: f"{r}.empty", "lower_inc": lambda r: f"{r}.lower_inc", "upper_inc": lambda r: f"{r}.upper_inc", "lower_inf": lambda r: f"({r}.lower IS NULL AND NOT {r}.empty)", "upper_inf": lambda r: f"({r}.upper IS NULL AND NOT {r}.empty)",
     "range_lower": lambda r: f"{r}.lower", "range_upper": lambda r: f"{r}.upper",
     "range_contains": contains_range, "range_contains_elem": contains_elem, "range_contained_by": lambda a, b: contains_range(b, a), "elem_contained_by_range": lambda x, r: contains_elem(r, x), "range_overlaps": overlaps, "range_adjacent": _adjacent, "range_merge": _merge, "range_intersect": _intersect, "range_minus": _minus, "range_before": _before, "range_after": lambda a, b: _before(b, a),

@@ -76,3 +76,10 @@ def vector_join_rank(s, d):
 
 
 CASES["vector_join_graph_filter_rank"] = (vector_join_rank, f"SELECT vec_id AS id, row_number() OVER (ORDER BY {_DISTANCE['l2']}, vec_id) AS rank FROM embeddings WHERE vec_id IN (SELECT l_partkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_nationkey = 7) QUALIFY rank <= 10")
+
+_TEXT = "[" + ",".join(map(str, QUERY)) + "]"
+_BACK = "[" + ",".join(map(str, QUERY[::-1])) + "]"
+case(CASES, "sql_vector_top_k", f"SELECT h.id, h.rank FROM vector_top_k_hits('embeddings', 'embedding', '{_TEXT}', 7, 'ip', NULL, NULL, NULL, NULL, '{{\"filter\": {{\"key\": \"label\", \"range\": {{\"lte\": 6}}}}}}') AS h",
+     f"SELECT vec_id AS id, row_number() OVER (ORDER BY {_DISTANCE['ip']} DESC, vec_id) AS rank FROM embeddings WHERE label <= 6 QUALIFY rank <= 7")
+case(CASES, "sql_hybrid_rrf", f"SELECT id, rank FROM hybrid_fuse_rrf_hits(vector_top_k_hits('embeddings', 'embedding', '{_TEXT}', 30, 'ip'), vector_top_k_hits('embeddings', 'embedding', '{_BACK}', 30, 'ip'), 20) AS f",
+     f"WITH {_LISTS}, u AS (SELECT id, sum(1.0 / (60 + rank))::DOUBLE AS score FROM (FROM a UNION ALL FROM b) GROUP BY 1) SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, id) AS rank FROM u QUALIFY rank <= 20")

@@ -101,3 +101,35 @@ def test_function_list():
     names = supported()
     assert len(names) > 400 and {"initcap", "l2_distance", "to_tsvector", "int4range", "jsonb_set", "date_bin"} <= set(names)
     assert rewrite_expression("a::text") == "CAST(a AS string)"
+
+
+def test_session_functions(spark):
+    e = Engine(spark)
+    e.sql("CREATE SEQUENCE s START WITH 5 INCREMENT BY 2")
+    assert [e.sql("SELECT nextval('s') AS v").first()[0] for _ in range(2)] == [5, 7]
+    assert e.sql("SELECT currval('s') AS a, lastval() AS b, setval('s', 20) AS c, nextval('s') AS d").first()[:] == (7, 7, 20, 22)
+    e.sql("CREATE TYPE mood AS ENUM ('sad', 'ok', 'happy')")
+    r = e.sql("SELECT enum_first(NULL::mood) AS a, enum_last(NULL::mood) AS b, enum_range('sad'::mood, 'ok'::mood) AS c").first()
+    assert (r["a"], r["b"], r["c"]) == ("sad", "happy", ["sad", "ok"])
+    assert e.sql("SELECT current_setting('spark.sql.session.timeZone') AS v").first()[0] == "UTC"
+    assert e.sql("SELECT cash_words(123.45) AS v").first()[0] == "One hundred twenty three dollars and forty five cents"
+
+
+def test_searches_in_sql(spark):
+    e = Engine(spark)
+    e.register("items", spark.createDataFrame([(1, [1.0, 0.0], "red fox", "a"), (2, [0.0, 1.0], "blue fox", "b"), (3, [0.9, 0.1], "green", "a")], "id int, v array<float>, t string, g string"))
+    ids = lambda q: [r["id"] for r in e.sql(q).collect()]
+    assert ids("SELECT id FROM vector_top_k_ids('items', 'v', '[1,0]', 2)") == [1, 3]
+    assert ids("SELECT h.id FROM vector_top_k_hits('items', 'v', ARRAY[1, 0], 5, 'l2', NULL, 0.5) AS h ORDER BY h.rank") == [1, 3]
+    assert ids("SELECT id FROM full_text_top_k_hits('items', 't', 'fox', 5) ORDER BY id") == [1, 2]
+    assert ids("SELECT id FROM vector_recommend_top_k_hits('items', 'v', ARRAY[1], NULL, 1, 'l2')") == [3]
+    assert ids("SELECT id FROM hybrid_search_top_k_hits('items', 'v', 't', '[0,1]', 'blue', 1)") == [2]
+    assert ids("SELECT x.id FROM items JOIN vector_top_k_ids('items', 'v', '[0,1]', 1) AS x ON items.id = x.id") == [2]
+    e.graph.node_label("i", "items").edge_label("e", spark.createDataFrame([(1, 2), (1, 3)], "source_id int, target_id int"), "i", "i")
+    assert ids("SELECT id FROM graph_neighbors('e', 1, 'out', 1)") == [2]
+
+
+def test_xml_of_a_query(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([(1, "a")], "id int, s string"))
+    assert "<id>1</id>" in e.table_to_xml("t").first()["xml"]
