@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -13,6 +14,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a checkpoint in the folder all executors share (a temporary one only where none is set)."""
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='polymodal-')}")
     return df.checkpoint()
 

@@ -133,3 +133,31 @@ def test_xml_of_a_query(spark):
     e = Engine(spark)
     e.register("t", spark.createDataFrame([(1, "a")], "id int, s string"))
     assert "<id>1</id>" in e.table_to_xml("t").first()["xml"]
+
+
+def test_other_statements(spark, tmp_path):
+    e = Engine(spark)
+    e.sql("CREATE TABLE persons (id INT NOT NULL, name TEXT)")
+    e.sql("CREATE NODE LABEL person ON persons")
+    e.sql("CREATE TABLE knows (source_id INT, target_id INT, since INT)")
+    e.sql("CREATE EDGE LABEL knows ON knows SOURCE person TARGET person")
+    e.sql("INSERT INTO persons VALUES (1, 'Ann'), (2, 'Bo')")
+    e.sql("INSERT INTO knows VALUES (1, 2, 2020)")
+    assert e.sql("MATCH (a:person)-[k:knows]->(b:person) RETURN a.name AS a, b.name AS b, k.since AS s").first()[:] == ("Ann", "Bo", 2020)
+    e.sql("ALTER TABLE persons ADD COLUMN age INT DEFAULT 7")
+    e.sql("ALTER TABLE persons RENAME COLUMN name TO nick")
+    e.sql("ALTER TABLE persons ALTER COLUMN age TYPE bigint")
+    assert e.table("persons").dtypes == [("id", "int"), ("nick", "string"), ("age", "bigint")]
+    e.sql("ALTER TABLE persons DROP COLUMN age")
+    path = str(tmp_path / "p")
+    e.sql(f"COPY persons TO '{path}' WITH (FORMAT csv, HEADER)")
+    e.sql(f"COPY persons FROM '{path}' WITH (FORMAT csv, HEADER)")
+    assert e.table("persons").count() == 4
+    e.sql("CREATE FUNCTION add_up(a int, b int) RETURNS int LANGUAGE sql AS $$ SELECT $1 + b $$")
+    e.sql("CREATE FUNCTION twice(a int) RETURNS int RETURN a * 2")
+    assert e.sql("SELECT add_up(twice(2), 3) AS v").first()[0] == 7
+    assert e.sql("SHOW spark.sql.session.timeZone").first()[0] == "UTC"
+    for text in ("ANALYZE persons", "BEGIN", "CREATE INDEX i ON persons (id)", "DROP INDEX i", "VACUUM", "DROP EDGE LABEL knows"):
+        assert e.sql(text).count() == 1
+    e.sql("ALTER TABLE persons RENAME TO people")
+    assert e.sql("TABLE people").count() == 4 and "persons" not in e.tables
