@@ -91,6 +91,8 @@ def only(name: str) -> None:
 #: Unicode White_Space, where both public pre-tokenizers always start a new piece.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: A run of letters before an ASCII character that is no letter, or at the end: pre-tokenizers cut there, and no normalisation joins the two.
+_LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\\x00-@\\[-`{-\\x7f]|\\Z)"
 _SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
@@ -98,11 +100,11 @@ class TokenCoder:
     """Whole texts to ids (bytes of little-endian uint32) by a ``tokenizers`` file, remembering short chunks.
 
     Chunks are a run of white space with the word after it (byte-level pre-tokenizer with its own pattern), or
-    words alone (pre-tokenizers that drop white space). Both patterns never match across such a cut, so a text's ids are its
-    chunks' ids in a row. Any other pre-tokenizer gets whole texts.
+    words alone (pre-tokenizers that drop white space), words being cut after their leading letters too. Neither pattern ever matches across such
+    a cut, so a text's ids are its chunks' ids in a row. Any other pre-tokenizer gets whole texts.
     """
 
-    REMEMBERED = 1_000_000
+    REMEMBERED = 500_000
     LONGEST = 48
 
     def __init__(self, path: str):
@@ -118,9 +120,9 @@ class TokenCoder:
         before, normal = spec["pre_tokenizer"] or {}, spec["normalizer"]
         pattern = before.get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex", "")
         if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normal is None:
-            self.cut = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
+            self.cut = re.compile(f"[{_WS}]*{_LETTERS}|[{_WS}]*[^{_WS}]+|[{_WS}]+").findall
         elif before.get("type") == "Sequence" and pattern.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and before["pretokenizers"][0]["invert"]:
-            self.cut = re.compile(f"[^{_WS}]+").findall
+            self.cut = re.compile(f"{_LETTERS}|[^{_WS}]+").findall
         else:
             self.cut = None
         self.spaced = None
@@ -152,12 +154,13 @@ class TokenCoder:
             plain, rest = [], []
             for w in new:
                 (plain if w[0] == " " and len(w) > 1 and w[1] not in _SPACES else rest).append(w)
-            rows = [plain[at : at + 64] for at in range(0, len(plain), 64)]
-            for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(row) for row in rows], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4")
-                raw, cut = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
-                for w, p, q in zip(row, cut, [*cut[1:], len(raw)]):
-                    out[w] = raw[p:q]
+            for first in range(0, len(plain), 4096):
+                rows = [plain[at : at + 64] for at in range(first, min(first + 4096, len(plain)), 64)]
+                for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(row) for row in rows], add_special_tokens=False)):
+                    ids = np.array(e.ids, "<u4")
+                    raw, cut = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+                    for w, p, q in zip(row, cut, [*cut[1:], len(raw)]):
+                        out[w] = raw[p:q]
             new = rest
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
@@ -181,7 +184,7 @@ def coder(path: str) -> TokenCoder:
     return _coders[path]
 
 
-def sliced(batch, column: int, most: int = 8 << 20):
+def sliced(batch, column: int, most: int = 1 << 20):
     """Slices of an Arrow batch with at most about ``most`` bytes of the text column each, so one batch of long texts stays small in Python."""
     import pyarrow.compute as pc
 
