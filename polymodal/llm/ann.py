@@ -19,7 +19,7 @@ BOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted on at most (those first by hash of id); all rows are coded.
 SAMPLE = 8192
 #: Rows of a block of codes, of a block of queries, and codes of a block that are reranked for each query.
-BLOCK, QUERIES, RERANK = 16384, 8192, 160
+BLOCK, QUERIES, RERANK = 16384, 8192, 1024
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
