@@ -147,7 +147,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     """
     if not 2 <= capacity <= 1 << 20:
         raise ValueError("capacity must be in 2..2**20")
-    nearly = capacity - capacity // 64
+    nearly = capacity - capacity // 256
     rows = text_rows(docs, id_col, text_col)
     level = materialise(rows.mapInArrow(_first_round(path, end_id, capacity, nearly, keep_ids), _SCHEMA), "round0")
     parts = max(1, len(level.inputFiles()))
