@@ -77,7 +77,11 @@ def _prepare(items: list, bound: dict) -> list:
         x = items[i]
         nxt = items[i + 1] if i + 1 < len(items) else None
         if isinstance(x, Group):
-            if x.open == "{":
+            if x.open == "{" and out and isinstance(out[-1], Tok) and out[-1].text in bound and all(dialect._is(q[0], ".") or len(q) > 2 for q in split(x.items)):
+                v = out.pop().text  # a map of some of a variable's properties
+                pairs = [f"'{q[1].text}', {v}.{q[1].text}" if dialect._is(q[0], ".") else f"'{q[0].text}', {expr(q[2:], bound)}" for q in split(x.items)]
+                out.append(_raw(f"named_struct({', '.join(pairs)})"))
+            elif x.open == "{":
                 pairs = [f"'{p[0].text.strip('`')}', {expr(p[2:], bound)}" for p in split(x.items)]
                 out.append(_raw(f"named_struct({', '.join(pairs)})" if pairs else "map()"))
             elif x.open == "[":
@@ -395,7 +399,55 @@ class Query:
             elif _is_pattern(inner):
                 self.semi(inner, negated)
             else:
-                self.df = self.df.where(F.expr(expr(conj, self.bound)))
+                keep = self.df.columns
+                test = expr(self.nested(conj), self.bound)
+                self.df = self.df.where(F.expr(test)).select(*(F.col(f"`{c}`") for c in keep))
+
+    def nested(self, items: list) -> list:
+        """Pattern comprehensions, COUNT {...} and EXISTS {...} inside expressions become columns, each by one aggregation joined on the variables that it names."""
+        out: list = []
+        i = 0
+        while i < len(items):
+            x, nxt = items[i], items[i + 1] if i + 1 < len(items) else None
+            bar = find(x.items, "|") if isinstance(x, Group) and x.open == "[" else -1
+            w = find(x.items, "WHERE") if bar > 0 else -1
+            cut_at = w if 0 < w < bar else bar
+            if bar > 0 and _is_pattern(x.items[:cut_at]):
+                out.append(self.attach(x.items[:cut_at], x.items[w + 1 : bar] if 0 < w < bar else [], x.items[bar + 1 :]))
+            elif dialect._is(x, "COUNT", "EXISTS") and isinstance(nxt, Group) and nxt.open == "{":
+                body = nxt.items[1:] if dialect._is(nxt.items[0], "MATCH") else nxt.items
+                w = find(body, "WHERE")
+                got = self.attach(body[:w] if w >= 0 else body, body[w + 1 :] if w >= 0 else [], None)
+                out.append(got if x.up() == "COUNT" else Group("(", [got, Tok("op", ">"), Tok("num", "0")]))
+                i += 1
+            elif isinstance(x, Group):
+                out.append(Group(x.open, self.nested(x.items)))
+            else:
+                out.append(x)
+            i += 1
+        return out
+
+    def attach(self, pattern: list, where: list, value: list | None) -> Group:
+        """A new column: the list of value (or the count, if None) over a pattern's matches, for each row."""
+        names = [v for v in self.bound if v in _mentioned(pattern)]
+        sub = Query(self.graph)
+        sub.df = self.df.select(*(F.col(f"`{v}`") for v in names)).distinct() if names else None
+        sub.bound = {v: self.bound[v] for v in names}
+        sub.match(pattern)
+        if where:
+            sub.where(where)
+        col = next(self.fresh).replace("__v", "__sub")
+        agg = F.count(F.lit(1)) if value is None else F.collect_list(F.expr(expr(value, sub.bound)))
+        keys = [F.col(f"`{v}`.__id").alias(f"__k{n}") for n, v in enumerate(names)] + [F.col(f"`{v}`.__label").alias(f"__l{n}") for n, v in enumerate(names) if self.bound[v] == "node"]
+        got = sub.df.groupBy(*keys).agg(agg.alias(col))
+        on = F.lit(True)
+        for n, v in enumerate(names):
+            on = on & (F.col(f"`{v}`.__id") == F.col(f"__k{n}"))
+            if self.bound[v] == "node":
+                on = on & (F.col(f"`{v}`.__label") == F.col(f"__l{n}"))
+        none = F.lit(0) if value is None else F.array().cast(got.schema[col].dataType)
+        self.df = self.df.join(got, on, "left").withColumn(col, F.coalesce(F.col(col), none)).drop(*(f"__k{n}" for n in range(len(names))), *(f"__l{n}" for n in range(len(names))))
+        return _raw(col)
 
     def semi(self, pattern: list, negated: bool) -> None:
         w = find(pattern, "WHERE")
@@ -438,7 +490,7 @@ class Query:
 
     def project(self, items: list, tail: dict[str, list], where: list) -> None:
         distinct = bool(items) and dialect._is(items[0], "DISTINCT")
-        items = items[distinct:]
+        items = self.nested(items[distinct:]) if self.df is not None else items[distinct:]
         cols: list[tuple[str, str, bool, str]] = []
         for part in split(items):
             if len(part) == 1 and isinstance(part[0], Tok) and part[0].text == "*":

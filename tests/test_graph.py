@@ -209,3 +209,12 @@ def test_every_procedure_has_a_name(town):
     with pytest.raises(ValueError):
         town.query("CALL graph.nothing() YIELD x RETURN x")
     assert town.query("CALL graph.pageRank(0.85, 5) YIELD nodeId, score RETURN nodeId, score").count() == 5
+
+
+def test_patterns_inside_expressions(town):
+    q = lambda t: rows(town.query(t))
+    assert q("MATCH (c:city) RETURN c.name AS c, [(p:person)-[:lives_in]->(c) WHERE p.age > 31 | p.name] AS who") == [("London", []), ("Paris", ["Carol"])]
+    assert q("MATCH (p:person) RETURN p.id AS i, COUNT { (p)-[:friends]->() } AS n, EXISTS { (p)<-[:friends]-() } AS e") == [(1, 1, False), (2, 1, True), (3, 0, True)]
+    assert q("MATCH (p:person) WHERE COUNT { (p)--(:person) } > 1 OR p.id = 3 RETURN p.id AS i") == [(2,), (3,)]
+    assert town.query("MATCH (p:person {id: 1}) RETURN p {.name, older: p.age + 1} AS m").first()["m"].asDict() == {"name": "Alice", "older": 31}
+    assert q("MATCH (p:person) WHERE p.name =~ 'A.*' RETURN p.name AS n, size([x IN [1, 2, 3] WHERE x > 1]) AS k, none(x IN [1] WHERE x = 2) AS o") == [("Alice", 2, True)]
