@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 #: The common English stop words.
 STOP = frozenset("a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our ours out over own s same she should so some such t than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split())
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
+@lru_cache(maxsize=1 << 17)
 def stem(w: str) -> str:
     """A word without its inflexion."""
     if len(w) <= 3:
@@ -89,6 +91,7 @@ def to_query(text: str, config: str = "english") -> str:
     return re.sub(r"'([^']*)'|([^\W_]+)(:\*)?", lambda m: f"'{m[1] if m[1] is not None else (m[2].lower() if config == 'simple' else stem(m[2].lower()))}'{m[3] or ''}", text)
 
 
+@lru_cache(maxsize=256)
 def parse_query(q: str):
     """A tree of ('lex', w, prefix), ('!', x), ('&', x, y), ('|', x, y), ('<n>', x, y)."""
     tokens = re.findall(r"'[^']*'(?::\*)?|<->|<\d+>|[&|!()]", q)
@@ -168,11 +171,37 @@ def _words(tree) -> list[tuple[str, bool]]:
 _WEIGHT = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 
 
+def text_rank(text: str, q: str, config: str = "english") -> float | None:
+    """The rank of a text that matches, else None; positions are kept for the query's words alone."""
+    tree = parse_query(q)
+    words = _every(tree)
+    whole, heads = {w for w, p in words if not p}, tuple(w for w, p in words if p)
+    v: dict[str, list[tuple[int, str]]] = {}
+    for k, m in enumerate(_WORD.finditer(text.lower()), 1):
+        w = m[0]
+        if config != "simple":
+            if w in STOP:
+                continue
+            w = stem(w)
+        if w in whole or heads and w.startswith(heads):
+            v.setdefault(w, []).append((k, "D"))
+    return _rank(v, tree) if matches(v, tree) else None
+
+
+def _every(tree) -> list[tuple[str, bool]]:
+    """All words of a query, negated ones too."""
+    if tree is None:
+        return []
+    return [(tree[1], tree[2])] if tree[0] == "lex" else [w for x in tree[1:] for w in _every(x)]
+
+
 def rank(s: str, q: str) -> float:
-    """Each query word adds its occurrences' weights, falling with the square of their order, over the number of words."""
     v, tree = parse_vector(s), parse_query(q)
-    if not matches(v, tree):
-        return 0.0
+    return _rank(v, tree) if matches(v, tree) else 0.0
+
+
+def _rank(v: dict, tree) -> float:
+    """Each query word adds its occurrences' weights, falling with the square of their order, over the number of words."""
     words = _words(tree)
     total = 0.0
     for w, prefix in words:
@@ -220,7 +249,7 @@ def udfs():
 
     return {
         "pm_to_tsvector": elementwise(lambda s, c: vector(lexemes(s, c)), "string"), "pm_to_tsquery": elementwise(to_query, "string"), "pm_plainto_tsquery": elementwise(lambda s, c: plain_query(s, " & ", c), "string"), "pm_phraseto_tsquery": elementwise(lambda s, c: plain_query(s, " <-> ", c), "string"), "pm_websearch_to_tsquery": elementwise(web_query, "string"),
-        "pm_ts_match": elementwise(lambda v, q: matches(parse_vector(v), parse_query(q)), "boolean"), "pm_ts_rank": elementwise(rank, "double"), "pm_ts_rank_cd": elementwise(rank_cd, "double"), "pm_ts_headline": elementwise(headline, "string"), "pm_ts_lexize": elementwise(lambda w: [] if w.lower() in STOP else [stem(w.lower())], "array<string>"),
+        "pm_ts_match": elementwise(lambda v, q: matches(parse_vector(v), parse_query(q)), "boolean"), "pm_ts_rank": elementwise(rank, "double"), "pm_ts_rank_cd": elementwise(rank_cd, "double"), "pm_text_rank": elementwise(text_rank, "double"), "pm_ts_headline": elementwise(headline, "string"), "pm_ts_lexize": elementwise(lambda w: [] if w.lower() in STOP else [stem(w.lower())], "array<string>"),
         "pm_ts_delete": elementwise(lambda v, ws: " ".join(m[0] for m in re.finditer(r"'([^']*)'(?::[\dA-D,]+)?", v) if m[1] not in set(ws)), "string"), "pm_ts_filter": elementwise(lambda v, ws: " ".join(f"'{w}':{','.join(str(k) + (c if c != 'D' else '') for k, c in ps if c.lower() in set(ws))}" for w, ps in parse_vector(v).items() if any(c.lower() in set(ws) for _, c in ps)), "string"),
     }
 

@@ -99,11 +99,11 @@ def full_text_hits(df: DataFrame, column: str, query: str, k: int, mode: str = "
         spark.udf.register(name, udf)
     q = {"plain": lambda: fulltext.plain_query(query, " & ", config), "phrase": lambda: fulltext.plain_query(query, " <-> ", config), "web": lambda: fulltext.web_query(query, config), "query": lambda: fulltext.to_query(query, config)}[mode]()
     text = q.replace("\\", "\\\\").replace("'", "\\'")
-    rows = df.where(compile_filter(o.get("filter"), id_col)).withColumn("__v", F.expr(f"pm_to_tsvector(`{column}`, '{config}')")).where(F.expr(f"pm_ts_match(__v, '{text}')"))
-    cols = [F.col(id_col).alias("id"), F.expr(f"pm_ts_rank(__v, '{text}')").alias("score")]
+    rows = df.where(compile_filter(o.get("filter"), id_col))
+    cols = [F.col(id_col).alias("id"), F.expr(f"pm_text_rank(`{column}`, '{text}', '{config}')").alias("score")]
     if (p := _payload(df, o, column, id_col)) is not None:
         cols.append(p.alias("payload"))
-    hits = rows.select(*cols)
+    hits = rows.select(*cols).where("score IS NOT NULL")  # null where a text doesn't match
     hits = hits if threshold is None else hits.where(F.col("score") >= threshold)
     hits = hits.orderBy(F.desc("score"), "id").limit(int(o.get("limit", k)))
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))  # over at most k rows
