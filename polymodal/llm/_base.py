@@ -24,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='polymodal-')}"
         spark.sparkContext.setCheckpointDir(top)
     path = f"{top.rstrip('/')}/polymodal-{uuid.uuid4().hex}"
