@@ -30,12 +30,15 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     m = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("content"),
     ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-1)).cast("long"))
-    order = Window.partitionBy("conv_id", "segment").orderBy(F.col("turn").asc_nulls_last(), "speaker", "content")
+    # null-safe keys as plain columns: messages are dealt out once, by conversation and segment, and stay there for the window, the
+    # grouping and the join; only participants, a few short rows a segment, are dealt out to meet them
+    m = m.withColumns({"c": F.coalesce("conv_id", F.lit(0)), "none": F.col("conv_id").isNull()})
+    order = Window.partitionBy("c", "none", "segment").orderBy(F.col("turn").asc_nulls_last(), "speaker", "content")
+    who = m.select("c", "none", F.col("speaker").alias("perspective")).distinct().join(m.select("c", "none", "segment").distinct(), ["c", "none"])
     place = F.row_number().over(order) - 1
     m = m.withColumn("place", place).withColumn("part", F.floor(F.col("place") / MESSAGES).cast("long"))
-    who = m.groupBy("conv_id", "speaker").agg(F.lit(1).alias("one")).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective"))
-    packed = m.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(F.struct("place", "speaker", "content"))).alias("said"))
-    each = packed.join(who, packed["conv_id"].eqNullSafe(who["c"])).drop("c")
+    packed = m.groupBy("c", "none", "segment", "part").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list(F.struct("place", "speaker", "content"))).alias("said"))
+    each = packed.join(who, ["c", "none", "segment"])
     lines = F.transform("said", lambda x: F.struct(_head(x["speaker"] == F.col("perspective"), x["speaker"]).alias("head"), F.concat(x["content"], F.lit(CLOSE)).alias("body"), (x["speaker"] == F.col("perspective")).alias("mine")))
     each = each.withColumn("lines", lines)
     text = F.concat_ws("", F.transform("lines", lambda x: F.concat(x["head"], x["body"])))
