@@ -115,20 +115,32 @@ _p("algo_closeness", "graph.closenessCentrality", oracle=f"WITH RECURSIVE {_DIST
 _p("algo_closeness_wf", "graph.closenessCentralityWf", oracle=f"WITH RECURSIVE {_DIST} SELECT n_nationkey AS nodeId, round(coalesce((SELECT count(*)::DOUBLE / sum(h) * count(*) / 24.0 FROM d WHERE s = n_nationkey AND id <> s), 0), 6) AS score FROM nation")
 _p("algo_harmonic", "graph.harmonicCentrality", oracle=f"WITH RECURSIVE {_DIST} SELECT n_nationkey AS nodeId, round(coalesce((SELECT sum(1.0 / h) FROM d WHERE s = n_nationkey AND id <> s), 0), 6) AS score FROM nation")
 _p("algo_delta_stepping", "graph.deltaStepping", 1, oracle=f"WITH RECURSIVE {_DIST} SELECT id AS nodeId, h::DOUBLE AS distance FROM d WHERE s = 1")
+CASES["algo_shortest_path"] = (lambda spark, d: procedures.call(ring(spark, d).graph, "graph.shortestPath", 1, 20).select("sourceNodeId", "targetNodeId", "distance", (F.size("path") - 1).alias("hops")), f"WITH RECURSIVE {_DIST} SELECT s AS sourceNodeId, id AS targetNodeId, h::DOUBLE AS distance, h AS hops FROM d WHERE s = 1 AND id = 20")
 _p("algo_bellman_ford", "graph.bellmanFord", 1, oracle=f"WITH RECURSIVE {_DIST} SELECT id AS nodeId, h::DOUBLE AS distance FROM d WHERE s = 1")
 _p("algo_modularity", "graph.modularity", [[i, i % 3] for i in range(25)], oracle=f"WITH {_U}, c AS (SELECT src % 3 AS k, count(*) AS deg, count(*) FILTER (WHERE src % 3 = dst % 3) AS inside FROM u GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS m2 FROM u) SELECT round(sum(inside / m2 - (deg / m2) ** 2), 6) AS modularity FROM c, m")
 _p("algo_conductance", "graph.conductance", [[i, i % 3] for i in range(25)], oracle=f"WITH {_RING}, c AS (SELECT src % 3 AS k, count(*)::DOUBLE AS vol, count(*) FILTER (WHERE src % 3 <> dst % 3)::DOUBLE AS cut FROM e GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS a FROM e) SELECT n_nationkey AS nodeId, round(cut / least(vol, a - vol), 6) AS score FROM nation, c, m WHERE k = n_nationkey % 3")
 for _name, _proc, _args in (
     ("algo_pagerank", "graph.pageRank", ()), ("algo_article_rank", "graph.articleRank", ()), ("algo_personalized_pagerank", "graph.personalizedPageRank", (0.85, 20, 1)), ("algo_weighted_pagerank", "graph.weightedPageRank", ()), ("algo_approximate_ppr", "graph.approximatePPR", (1,)),
     ("algo_hits", "graph.hits", ()), ("algo_eigenvector", "graph.eigenvectorCentrality", ()), ("algo_katz", "graph.katzCentrality", ()), ("algo_betweenness", "graph.betweennessCentrality", ()), ("algo_sampled_betweenness", "graph.sampledBetweenness", (0, 10)),
-    ("algo_shortest_path", "graph.shortestPath", (1, 20)), ("algo_single_source", "graph.singleSourceShortestPath", (1,)), ("algo_dijkstra", "graph.dijkstra", (1, 20)), ("algo_yen", "graph.yen", (1, 20, 3)), ("algo_kcore", "graph.kcore", ()), ("algo_degeneracy", "graph.degeneracy", ()),
+    ("algo_single_source", "graph.singleSourceShortestPath", (1,)), ("algo_dijkstra", "graph.dijkstra", (1, 20)), ("algo_yen", "graph.yen", (1, 20, 3)), ("algo_kcore", "graph.kcore", ()), ("algo_degeneracy", "graph.degeneracy", ()),
     ("algo_articulation_points", "graph.articulationPoints", ()), ("algo_bridges", "graph.bridges", ()), ("algo_label_propagation", "graph.labelPropagation", ()), ("algo_louvain", "graph.louvain", ()), ("algo_leiden", "graph.leiden", ()), ("algo_k1_coloring", "graph.k1Coloring", ()), ("algo_max_k_cut", "graph.maxKCut", ()), ("algo_sllpa", "graph.sllpa", ()),
-    ("algo_spanning_tree", "graph.minimumSpanningTree", ()), ("algo_k_spanning_tree", "graph.kSpanningTree", (3,)), ("algo_steiner_tree", "graph.steinerTree", ([7, 20], 1)), ("algo_node_similarity", "graph.nodeSimilarity", (5,)), ("algo_knn", "graph.knn", (5,)), ("algo_filtered_knn", "graph.filteredKnn", ([[i, i % 2] for i in range(25)], 5)), ("algo_link_prediction", "graph.linkPrediction", (10,)),
+    ("algo_spanning_tree", "graph.minimumSpanningTree", ()), ("algo_k_spanning_tree", "graph.kSpanningTree", (3,)), ("algo_steiner_tree", "graph.steinerTree", ([7, 20], 1)), ("algo_link_prediction", "graph.linkPrediction", (10,)),
     ("algo_random_walk", "graph.randomWalk", (7, 10, 2)), ("algo_node2vec", "graph.node2vec", (0.5, 7, 2.0, 10, 2)), ("algo_fast_rp", "graph.fastRP", (16,)), ("algo_hashgnn", "graph.hashgnn", (16,)),
 ):
     _p(_name, _proc, *_args)
 
 
+def _similar(a: str, b: str, where: str = "true") -> str:
+    return f"""WITH {_RING}, d AS (SELECT src, count(*) AS d FROM e GROUP BY 1), p AS (SELECT x.src AS a, y.src AS b, count(*) AS c FROM e x JOIN e y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2),
+    s AS (SELECT a, b, c::DOUBLE / (da.d + db.d - c) AS score FROM p JOIN d da ON da.src = a JOIN d db ON db.src = b WHERE {where})
+    SELECT a AS "{a}", b AS "{b}", round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5"""
+
+
+_p("algo_node_similarity", "graph.nodeSimilarity", 5, oracle=_similar("node1Id", "node2Id"))
+_p("algo_knn", "graph.knn", 5, oracle=_similar("nodeId", "neighborId"))
+_p("algo_filtered_knn", "graph.filteredKnn", [[i, i % 2] for i in range(25)], 5, oracle=_similar("nodeId", "neighborId", "a % 2 = b % 2"))
+
+
 def _dag(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("src"))
     return n.select("src", F.explode(F.array(F.col("src") + 2, F.col("src") * 2 + 1)).alias("dst"), F.lit(1.0).alias("weight")).where("dst < 25 AND src <> dst").distinct()
