@@ -120,8 +120,8 @@ _p("algo_bellman_ford", "graph.bellmanFord", 1, oracle=f"WITH RECURSIVE {_DIST}
 _p("algo_modularity", "graph.modularity", [[i, i % 3] for i in range(25)], oracle=f"WITH {_U}, c AS (SELECT src % 3 AS k, count(*) AS deg, count(*) FILTER (WHERE src % 3 = dst % 3) AS inside FROM u GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS m2 FROM u) SELECT round(sum(inside / m2 - (deg / m2) ** 2), 6) AS modularity FROM c, m")
 _p("algo_conductance", "graph.conductance", [[i, i % 3] for i in range(25)], oracle=f"WITH {_RING}, c AS (SELECT src % 3 AS k, count(*)::DOUBLE AS vol, count(*) FILTER (WHERE src % 3 <> dst % 3)::DOUBLE AS cut FROM e GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS a FROM e) SELECT n_nationkey AS nodeId, round(cut / least(vol, a - vol), 6) AS score FROM nation, c, m WHERE k = n_nationkey % 3")
 for _name, _proc, _args in (
-    ("algo_pagerank", "graph.pageRank", ()), ("algo_article_rank", "graph.articleRank", ()), ("algo_personalized_pagerank", "graph.personalizedPageRank", (0.85, 20, 1)), ("algo_weighted_pagerank", "graph.weightedPageRank", ()), ("algo_approximate_ppr", "graph.approximatePPR", (1,)),
-    ("algo_hits", "graph.hits", ()), ("algo_eigenvector", "graph.eigenvectorCentrality", ()), ("algo_katz", "graph.katzCentrality", ()), ("algo_betweenness", "graph.betweennessCentrality", ()), ("algo_sampled_betweenness", "graph.sampledBetweenness", (0, 10)),
+    ("algo_approximate_ppr", "graph.approximatePPR", (1,)),
+    ("algo_hits", "graph.hits", ()), ("algo_eigenvector", "graph.eigenvectorCentrality", ()), ("algo_betweenness", "graph.betweennessCentrality", ()), ("algo_sampled_betweenness", "graph.sampledBetweenness", (0, 10)),
     ("algo_single_source", "graph.singleSourceShortestPath", (1,)), ("algo_dijkstra", "graph.dijkstra", (1, 20)), ("algo_yen", "graph.yen", (1, 20, 3)), ("algo_kcore", "graph.kcore", ()), ("algo_degeneracy", "graph.degeneracy", ()),
     ("algo_articulation_points", "graph.articulationPoints", ()), ("algo_bridges", "graph.bridges", ()), ("algo_label_propagation", "graph.labelPropagation", ()), ("algo_louvain", "graph.louvain", ()), ("algo_leiden", "graph.leiden", ()), ("algo_k1_coloring", "graph.k1Coloring", ()), ("algo_max_k_cut", "graph.maxKCut", ()), ("algo_sllpa", "graph.sllpa", ()),
     ("algo_spanning_tree", "graph.minimumSpanningTree", ()), ("algo_k_spanning_tree", "graph.kSpanningTree", (3,)), ("algo_steiner_tree", "graph.steinerTree", ([7, 20], 1)), ("algo_link_prediction", "graph.linkPrediction", (10,)),
@@ -130,12 +130,34 @@ for _name, _proc, _args in (
     _p(_name, _proc, *_args)
 
 
+def _power(share: str, home: str, rounds: int = 20) -> str:
+    """Rounds of PageRank by recursion: share is what an edge carries of its source's rank, home where rank starts and lost rank goes."""
+    return f"""WITH RECURSIVE {_RING}, o AS (SELECT src, count(*) AS d FROM e GROUP BY 1), m AS (SELECT count(*) / 25.0::DOUBLE AS mean FROM e),
+    w AS (SELECT e.src, e.dst, {share} AS share FROM e JOIN o ON o.src = e.src, m), v AS (SELECT n_nationkey AS id, {home} AS home FROM nation),
+    r(it, id, pr) AS (SELECT 0, id, home FROM v UNION ALL
+      SELECT i.it + 1, v.id, 0.15::DOUBLE * v.home + 0.85::DOUBLE * (coalesce(f.s, 0) + (1 - k.kept) * v.home)
+      FROM v CROSS JOIN (SELECT max(it) AS it FROM r) i CROSS JOIN (SELECT coalesce(sum(r.pr * w.share), 0) AS kept FROM r JOIN w ON w.src = r.id) k
+      LEFT JOIN (SELECT w.dst, sum(r.pr * w.share) AS s FROM r JOIN w ON w.src = r.id GROUP BY 1) f ON f.dst = v.id WHERE i.it < {rounds})
+    SELECT id AS nodeId, round(pr, 4) AS score FROM r WHERE it = {rounds}"""
+
+
+_KATZ = f"""WITH RECURSIVE {_RING}, r(it, id, x) AS (SELECT 0, n_nationkey, 0.0::DOUBLE FROM nation UNION ALL
+    SELECT i.it + 1, n_nationkey, 0.1::DOUBLE * coalesce(f.s, 0) + 1 FROM nation CROSS JOIN (SELECT max(it) AS it FROM r) i LEFT JOIN (SELECT dst, sum(x) AS s FROM r JOIN e ON src = id GROUP BY 1) f ON f.dst = n_nationkey WHERE i.it < 40)
+    SELECT id AS nodeId, round(x, 4) AS score FROM r WHERE it = 40"""
+
+
 def _similar(a: str, b: str, where: str = "true") -> str:
     return f"""WITH {_RING}, d AS (SELECT src, count(*) AS d FROM e GROUP BY 1), p AS (SELECT x.src AS a, y.src AS b, count(*) AS c FROM e x JOIN e y ON x.dst = y.dst AND x.src <> y.src GROUP BY 1, 2),
     s AS (SELECT a, b, c::DOUBLE / (da.d + db.d - c) AS score FROM p JOIN d da ON da.src = a JOIN d db ON db.src = b WHERE {where})
     SELECT a AS "{a}", b AS "{b}", round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5"""
 
 
+_UNI = "1 / 25.0::DOUBLE"
+_p("algo_pagerank", "graph.pageRank", oracle=_power("1.0::DOUBLE / d", _UNI), round_=4)
+_p("algo_weighted_pagerank", "graph.weightedPageRank", oracle=_power("1.0::DOUBLE / d", _UNI), round_=4)
+_p("algo_article_rank", "graph.articleRank", oracle=_power("1.0::DOUBLE / (d + mean)", _UNI), round_=4)
+_p("algo_personalized_pagerank", "graph.personalizedPageRank", 0.85, 20, 1, 0.0, oracle=_power("1.0::DOUBLE / d", "(n_nationkey = 1)::INT::DOUBLE"), round_=4)
+_p("algo_katz", "graph.katzCentrality", oracle=_KATZ, round_=4)
 _p("algo_node_similarity", "graph.nodeSimilarity", 5, oracle=_similar("node1Id", "node2Id"))
 _p("algo_knn", "graph.knn", 5, oracle=_similar("nodeId", "neighborId"))
 _p("algo_filtered_knn", "graph.filteredKnn", [[i, i % 2] for i in range(25)], 5, oracle=_similar("nodeId", "neighborId", "a % 2 = b % 2"))
