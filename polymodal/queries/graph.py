@@ -121,7 +121,7 @@ _p("algo_modularity", "graph.modularity", [[i, i % 3] for i in range(25)], oracl
 _p("algo_conductance", "graph.conductance", [[i, i % 3] for i in range(25)], oracle=f"WITH {_RING}, c AS (SELECT src % 3 AS k, count(*)::DOUBLE AS vol, count(*) FILTER (WHERE src % 3 <> dst % 3)::DOUBLE AS cut FROM e GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS a FROM e) SELECT n_nationkey AS nodeId, round(cut / least(vol, a - vol), 6) AS score FROM nation, c, m WHERE k = n_nationkey % 3")
 for _name, _proc, _args in (
     ("algo_approximate_ppr", "graph.approximatePPR", (1,)),
-    ("algo_hits", "graph.hits", ()), ("algo_eigenvector", "graph.eigenvectorCentrality", ()), ("algo_betweenness", "graph.betweennessCentrality", ()), ("algo_sampled_betweenness", "graph.sampledBetweenness", (0, 10)),
+    ("algo_hits", "graph.hits", ()), ("algo_eigenvector", "graph.eigenvectorCentrality", ()), ("algo_sampled_betweenness", "graph.sampledBetweenness", (0, 10)),
     ("algo_single_source", "graph.singleSourceShortestPath", (1,)), ("algo_dijkstra", "graph.dijkstra", (1, 20)), ("algo_yen", "graph.yen", (1, 20, 3)), ("algo_kcore", "graph.kcore", ()), ("algo_degeneracy", "graph.degeneracy", ()),
     ("algo_articulation_points", "graph.articulationPoints", ()), ("algo_bridges", "graph.bridges", ()), ("algo_label_propagation", "graph.labelPropagation", ()), ("algo_louvain", "graph.louvain", ()), ("algo_leiden", "graph.leiden", ()), ("algo_k1_coloring", "graph.k1Coloring", ()), ("algo_max_k_cut", "graph.maxKCut", ()), ("algo_sllpa", "graph.sllpa", ()),
     ("algo_spanning_tree", "graph.minimumSpanningTree", ()), ("algo_k_spanning_tree", "graph.kSpanningTree", (3,)), ("algo_steiner_tree", "graph.steinerTree", ([7, 20], 1)), ("algo_link_prediction", "graph.linkPrediction", (10,)),
@@ -152,6 +152,10 @@ def _similar(a: str, b: str, where: str = "true") -> str:
     SELECT a AS "{a}", b AS "{b}", round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5"""
 
 
+_BETWEEN = f"""WITH RECURSIVE {_RING}, p(s, id, hops, n) AS (SELECT n_nationkey, n_nationkey, 0, 1::DOUBLE FROM nation UNION ALL SELECT s, dst, hops + 1, sum(n) FROM p JOIN e ON e.src = p.id WHERE hops < 24 GROUP BY 1, 2, 3),
+    d AS (SELECT s, id, min(hops) AS h, arg_min(n, hops) AS n FROM p GROUP BY 1, 2)
+    SELECT n_nationkey AS nodeId, round(coalesce((SELECT sum(a.n * b.n / c.n) FROM d a JOIN d b ON b.s = a.id JOIN d c ON c.s = a.s AND c.id = b.id AND c.h = a.h + b.h WHERE a.id = n_nationkey AND a.s <> a.id AND b.id <> a.id AND a.s <> b.id), 0) / (24 * 23), 6) AS score FROM nation"""
+_p("algo_betweenness", "graph.betweennessCentrality", oracle=_BETWEEN)
 _UNI = "1 / 25.0::DOUBLE"
 _p("algo_pagerank", "graph.pageRank", oracle=_power("1.0::DOUBLE / d", _UNI), round_=4)
 _p("algo_weighted_pagerank", "graph.weightedPageRank", oracle=_power("1.0::DOUBLE / d", _UNI), round_=4)
