@@ -62,16 +62,15 @@ def pagerank(edges: DataFrame, v: DataFrame | None = None, damping: float = 0.85
     mean = (edges.count() / n) if article else 0.0
     shares = cut(edges.join(out, "src").select("src", "dst", ((F.col("weight") if weighted else F.lit(1.0)) / (F.col("out") + mean)).alias("share")))
     home = F.when(F.col("id") == source, 1.0).otherwise(0.0) if source is not None else F.lit(1.0 / n)
-    rank = cut(v.select("id", home.alias("r")))
+    passed = shares.groupBy(F.col("src").alias("id")).agg(F.sum("share").alias("passed"))  # what a node hands on of its rank; the rest is lost
+    rank = cut(v.join(passed, "id", "left").select("id", home.alias("r"), (1.0 - F.coalesce("passed", F.lit(0.0))).alias("loss")))
+    lost = rank.agg(F.sum(F.col("r") * F.col("loss"))).first()[0]
     for _ in range(iterations):
         flow = rank.join(shares, rank["id"] == shares["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("r") * F.col("share")).alias("in"))
-        nxt = rank.join(flow, "id", "left").select("id", "r", F.coalesce("in", F.lit(0.0)).alias("in"))
-        nxt = cut(nxt)
-        lost = 1.0 - (nxt.agg(F.sum("in")).first()[0] or 0.0)
-        new = nxt.select("id", F.abs(F.lit(0.0)).alias("z"), "r", (F.lit(1 - damping) * home + damping * (F.col("in") + F.lit(lost) * home)).alias("new"))
-        new = cut(new.select("id", "r", "new"))
-        change = new.agg(F.sum(F.abs(F.col("new") - F.col("r")))).first()[0]
-        rank = new.select("id", F.col("new").alias("r"))
+        new = rank.join(flow, "id", "left").select("id", F.col("r").alias("was"), (F.lit(1 - damping) * home + damping * (F.coalesce("in", F.lit(0.0)) + F.lit(lost) * home)).alias("r"), "loss")
+        new = cut(new)
+        change, lost = new.agg(F.sum(F.abs(F.col("r") - F.col("was"))), F.sum(F.col("r") * F.col("loss"))).first()
+        rank = new.select("id", "r", "loss")
         if change < tolerance:
             break
     return rank.select(F.col("id").alias("nodeId"), F.col("r").alias("score"))
