@@ -1,33 +1,38 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Both are bigram models with the same vocabulary, order and smoothing: words hash to 2**VOCABULARY_BITS ids, pairs of ids to 2**PAIR_BITS cells, so the two
-models together are arrays of a fixed size however large the corpus, which is what makes them safe to broadcast. Counts cover every document; they are summed by
-cell in one shuffle. The background's counts are scaled to as many tokens as the target has. A document is scored without its own
-counts, in both models.
+Both are bigram models with the same order and smoothing. Words, words as context and pairs of words are counted under 64-bit keys of their own, so the models grow
+with the corpus and are never in one place: documents are dealt to blocks of about BLOCK bytes, each block sends its distinct keys with its
+counts to as many buckets, ranges of keys, and gets the sums over all blocks back. Counts cover every document. The background's counts are scaled to as many tokens as the
+target has. A document is scored without its own counts, in both models.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import only, remembers, sliced, text_rows
+from ._base import only, remembers, text_rows
 
-VOCABULARY_BITS, PAIR_BITS = 18, 20
-#: Counts that the unigram model weighs in the bigram model, and that each word of the vocabulary has beforehand.
-BACK_OFF, BEFOREHAND = 8.0, 0.01
+#: Counts that the unigram model weighs in the bigram model, and that each word of a vocabulary of 2**VOCABULARY_BITS has beforehand (smoothing alone: any number of words is counted).
+BACK_OFF, BEFOREHAND, VOCABULARY_BITS = 8.0, 0.01, 18
 REMEMBERED = 500_000
+#: Bytes of text of a block of documents.
+BLOCK = 8 << 20
 _START = 0
+#: The key under which all words are counted together.
+_TOTAL = np.uint64(1)
 
 
 class _Ids(dict):
-    """Word -> id, remembered a worker."""
+    """Word -> 64-bit id, remembered a worker."""
 
     def __missing__(self, w: bytes) -> int:
-        v = xxhash.xxh32_intdigest(w) & ((1 << VOCABULARY_BITS) - 1)
+        v = xxhash.xxh64_intdigest(w)
         if len(self) < REMEMBERED and len(w) <= 64:
             self[w] = v
         return v
@@ -38,108 +43,129 @@ _ids = _Ids()
 
 def tokens(text: str | None) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_ids.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+
+
+remembers("lm", _ids)
 
 
 def cells(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(previous ids, cells) of a text's bigrams, the first after the start mark."""
-    before = np.concatenate([[_START], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15) ^ ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
-    return before.astype(np.int64), (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
-def _count(batches):
-    """(text, in_target) -> (kind, cell, background, target): this partition's sums. Kinds: 0 words, 1 words as context, 2 pairs."""
-    only("lm")
-    sizes = (1 << VOCABULARY_BITS, 1 << VOCABULARY_BITS, 1 << PAIR_BITS)
-    total = [np.zeros((2, n), np.int64) for n in sizes]
-    for batch in batches:
-        for part in sliced(batch, 0):
-            flags = part.column(1).to_pylist()
-            group: tuple[list, list] = ([], [])
-            for text, flag in zip(part.column(0).to_pylist(), flags):
-                ids = tokens(text)
-                if len(ids):
-                    before, cell = cells(ids)
-                    group[bool(flag)].append((ids, before, cell))
-            for which in (0, 1):
-                for k in range(3):
-                    if group[which]:
-                        got = np.bincount(np.concatenate([x[k] for x in group[which]]), minlength=sizes[k])
-                        total[k][0] += got
-                        if which:
-                            total[k][1] += got
-    for k in range(3):
-        used = np.flatnonzero(total[k][0])
-        for at in range(0, len(used), 1 << 16):
-            c = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(c.astype(np.int32)), pa.array(total[k][0][c]), pa.array(total[k][1][c])], names=["kind", "cell", "background", "target"])
-
-
-class Model:
-    """Counts of both corpora as float32 arrays; loss differences of whole texts."""
-
-    def __init__(self, counts: list[np.ndarray]):
-        self.counts = counts  # [kind][corpus][cell]
-        self.total = [float(counts[0][c].sum()) for c in (0, 1)]
-
-    def score(self, text: str | None) -> tuple[int, float | None, float | None, float | None]:
-        """Words, and the mean loss of a word in nats under the background, under the target, and under the target if the text is part of it; None without words or without a target."""
-        ids = tokens(text)
-        n = len(ids)
-        if not n or not self.total[1]:
-            return n, None, None, None
-        before, cell = cells(ids)
-        own = []
-        for x in (ids, before, cell):
-            _, place, many = np.unique(x, return_inverse=True, return_counts=True)
-            own.append(many[place])
-        given = [[self.counts[k][c][x] for k, x in enumerate((ids, before, cell))] for c in (0, 1)]
-        within = [np.maximum(g - o, 0) for g, o in zip(given[1], own)]
-        rest = [np.maximum(g - o, 0) for g, o in zip(given[0], own)]
-        total, target, less = max(self.total[0] - n, 1.0), self.total[1], max(self.total[1] - n, 0.0)
-        return n, self._loss(rest, total, target / total), self._loss(given[1], target, 1.0), self._loss(within, less, 1.0)
-
-    @staticmethod
-    def _loss(counts: list[np.ndarray], total: float, scale: float) -> float:
-        word, context, pair = (c * scale for c in counts)
-        p = (word + BEFOREHAND) / (total * scale + BEFOREHAND * (1 << VOCABULARY_BITS))
-        p = (np.minimum(pair, context) + BACK_OFF * p) / (context + BACK_OFF)
-        return float(-np.log(p).mean())
-
-
-_models: dict[int, Model] = {}
-remembers("lm", _models, _ids)
-
-
-def _score(shared):
-    def run(batches):
+    """(previous ids, keys) of a text's bigrams, the first after the start mark."""
+    before = np.concatenate([np.array([_START], np.uint64), ids[:-1]])
+    return before, (before * np.uint64(0x9E3779B97F4A7C15) ^ ids * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
+
+
+def _keys(texts: list[np.ndarray]) -> np.ndarray:
+    """Keys of the words, of the words as context and of the pairs of each text in turn, and last the key of all words."""
+    out = []
+    for ids in texts:
+        before, pair = cells(ids)
+        out += [ids, (before ^ np.uint64(0x27D4EB2F165667C5)) * np.uint64(0x9FB21C651E98DF25), pair]
+    return np.concatenate([*out, np.array([_TOTAL])])
+
+
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where ascending keys are cut into buckets, equal ranges of all keys."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, deflated."""
+    return zlib.compress(x.astype(np.min_scalar_type(int(x.max()))).tobytes(), 1)
+
+
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(x)
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
+
+
+def _folded(keys: np.ndarray) -> bytes:
+    """Ascending keys as planes of their gaps' bytes; only the upper three have repeats to deflate."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return planes[:5].tobytes() + zlib.compress(planes[5:].tobytes(), 1)
+
+
+def _unfolded(x: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(x[: 5 * n] + zlib.decompress(x[5 * n :]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
+def _count(buckets: int):
+    def run(key: tuple, docs: pa.Table, targets: pa.Table) -> pa.Table:
+        """A block's documents and target ids -> its distinct keys of each bucket, with their counts in all documents and in the target's."""
         only("lm")
-        if shared.id not in _models:
-            _models.clear()
-            _models[shared.id] = Model(shared.value)
-        model = _models[shared.id]
-        for batch in batches:
-            for part in sliced(batch, 1):
-                got = [model.score(x) for x in part.column(1).to_pylist()]
-                losses = [pa.array([x[k] for x in got], pa.float64()) for k in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in got], pa.int64()), *losses], names=["doc_id", "n_tokens", "background", "outside", "within"])
+        flags = np.isin(docs.column("doc_id").fill_null(0).to_numpy(), targets.column("t").to_numpy()) & docs.column("doc_id").is_valid().to_numpy()
+        texts = [tokens(x.as_py()) for x in docs.column("text")]
+        given = [(x, f) for x, f in zip(texts, flags.tolist()) if len(x)]
+        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("background", pa.binary()), ("target", pa.binary())])
+        if not given:
+            return schema.empty_table()
+        keys, background = np.unique(_keys([x for x, _ in given]), return_counts=True)
+        target, total = np.zeros(len(keys), np.int64), np.searchsorted(keys, _TOTAL)
+        own, n = np.unique(_keys([x for x, f in given if f]), return_counts=True)
+        target[np.searchsorted(keys, own)] = n
+        for count, each in ((background, [len(x) for x, _ in given]), (target, [len(x) for x, f in given if f])):
+            count[total] += sum(each) - 1
+        cuts = _cuts(keys, buckets).tolist()
+        some = [(k, key[0].as_py(), b - a, _folded(keys[a:b]), _packed(background[a:b]), _packed(target[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
     return run
 
 
-def fit(rows: DataFrame) -> list[np.ndarray]:
-    """rows (text, in_target) -> counts [kind][corpus][cell]. At most 2 * 2**VOCABULARY_BITS + 2**PAIR_BITS sums reach the driver, whatever the corpus."""
-    sums = rows.mapInArrow(_count, "kind int, cell int, background long, target long").groupBy("kind", "cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    got = sums.toArrow()
-    kind, cell = got.column("kind").to_numpy(), got.column("cell").to_numpy()
+def _sum(key: tuple, table: pa.Table) -> pa.Table:
+    """A bucket's keys from all blocks -> for each block the sums of its keys, in its order."""
+    asked = [_unfolded(x, n) for x, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist())]
+    cuts = np.cumsum([len(x) for x in asked])[:-1]
+    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
     out = []
-    for k, bits in enumerate((VOCABULARY_BITS, VOCABULARY_BITS, PAIR_BITS)):
-        m, a = kind == k, np.zeros((2, 1 << bits), np.float32)
-        for c, name in enumerate(("background", "target")):
-            a[c, cell[m]] = got.column(name).to_numpy()[m]
-        out.append(a)
-    return out
+    for name in ("background", "target"):
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, place, np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column(name).to_pylist(), asked)]))
+        out.append(pa.array([_packed(x) for x in np.split(sums[place], cuts)], pa.binary()))
+    return pa.table([table.column("bucket"), table.column("block"), *out], names=["bucket", "block", "background", "target"])
+
+
+def _losses(ids: np.ndarray, given: np.ndarray, total: tuple[int, int]) -> tuple[float | None, float | None, float | None]:
+    """Mean loss of a word in nats under the background, under the target, and under the target if the text is part of it; None without a target. given: counts [corpus][kind][place]."""
+    if not total[1]:
+        return None, None, None
+    n, own = len(ids), []
+    for x in (ids, *cells(ids)):
+        _, place, many = np.unique(x, return_inverse=True, return_counts=True)
+        own.append(many[place])
+    without = np.maximum(given - np.stack(own), 0)
+    size, less = max(total[0] - n, 1), max(total[1] - n, 0)
+    return _loss(without[0], size, total[1] / size), _loss(given[1], total[1], 1.0), _loss(without[1], less, 1.0)
+
+
+def _loss(counts: np.ndarray, total: float, scale: float) -> float:
+    word, context, pair = counts * scale
+    p = (word + BEFOREHAND) / (total * scale + BEFOREHAND * (1 << VOCABULARY_BITS))
+    p = (np.minimum(pair, context) + BACK_OFF * p) / (context + BACK_OFF)
+    return float(-np.log(p).mean())
+
+
+def _score(buckets: int):
+    def run(key: tuple, docs: pa.Table, sums: pa.Table) -> pa.Table:
+        only("lm")
+        texts = [tokens(x.as_py()) for x in docs.column("text")]
+        keys, place = np.unique(_keys([x for x in texts if len(x)]), return_inverse=True)
+        cuts, sums = np.diff(_cuts(keys, buckets)), sums.sort_by("bucket")
+        got = []
+        if sums.num_rows:
+            sizes = [int(cuts[k]) for k in sums.column("bucket").to_pylist()]
+            got = np.stack([np.concatenate([_unpacked(x, n) for x, n in zip(sums.column(name).to_pylist(), sizes)]) for name in ("background", "target")])
+            total = tuple(got[:, place[-1]].tolist())
+        out, at = [], 0
+        for ids in texts:
+            n = len(ids)
+            out.append((n, *(_losses(ids, got[:, place[at : at + 3 * n].reshape(3, n)], total) if n else (None, None, None))))
+            at += 3 * n
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([docs.column("doc_id"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_tokens", "background", "outside", "within"])
+
+    return run
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,23 +176,17 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     """
     ids = targets.select(F.col(targets.columns[0]).cast("long").alias("__t")).where("__t is not null").distinct()
     rows = text_rows(docs, id_col, text_col)
-    # the ids grow with the corpus, so texts and ids meet in a shuffle at any size; scores need no text and are joined after
-    flagged = rows.join(ids.hint("merge"), rows["doc_id"] == ids["__t"], "left").select("text", F.col("__t").isNotNull().alias("in_target"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(flagged))
-    scored = rows.mapInArrow(_score(_Held(shared)), "doc_id long, n_tokens long, background double, outside double, within double")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // BLOCK) or 1
+
+    def block(c):
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias("block")
+
+    # texts, ids and counts grow with the corpus and meet in shuffles by block or bucket at any size
+    dealt = rows.select("doc_id", "text", block(F.coalesce("doc_id", F.xxhash64("text")))).groupBy("block")
+    counts = dealt.cogroup(ids.select(F.col("__t").alias("t"), block("__t")).groupBy("block")).applyInArrow(_count(n), "bucket int, block int, n int, keys binary, background binary, target binary")
+    sums = counts.groupBy("bucket").applyInArrow(_sum, "bucket int, block int, background binary, target binary")
+    scored = dealt.cogroup(sums.groupBy("block")).applyInArrow(_score(n), "doc_id long, n_tokens long, background double, outside double, within double")
     out = scored.join(ids, scored["doc_id"] == ids["__t"], "left").withColumn("in_target", F.col("__t").isNotNull())
     target = F.when(F.col("in_target"), F.col("within")).otherwise(F.col("outside"))
     return out.select("doc_id", "n_tokens", target.alias("ce_target"), F.col("background").alias("ce_background"), (target - F.col("background")).alias("score"), "in_target")
-
-
-class _Held:
-    """A broadcast with a mark by which workers know it again."""
-
-    def __init__(self, shared):
-        import uuid
-
-        self.shared, self.id = shared, uuid.uuid4().int
-
-    @property
-    def value(self):
-        return self.shared.value
