@@ -2,8 +2,8 @@
 
 A vector is coded as the sum of one codeword of each of BOOKS full-dimensional codebooks, found by beam search over
 residuals; the codebooks come from residual k-means on a bounded sample. With each code goes the norm of what it decodes to. A query's
-inner products with all codewords are its lookup table, from which codes are scored; within each block of codes the best are
-reranked by exact inner products in double precision.
+inner products with all codewords are its lookup table, from which codes are scored; within each block of codes the best, and
+all that tie with the last of them, are reranked by exact inner products in double precision.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from ._base import materialise
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted on at most (those first by hash of id); all rows are coded.
 SAMPLE = 8192
-#: Rows of a block of codes, of a block of queries, and codes of a block that are reranked for each query.
+#: Rows of a block of codes, of a block of queries, and codes of a block that are reranked for each query, besides those that tie with the last.
 BLOCK, QUERIES, RERANK = 16384, 8192, 1024
 
 
@@ -124,9 +124,9 @@ def _search(codebooks: np.ndarray, k: int, rerank: int, metric: str):
                 near = 2 * near - (norm * norm)[None, :]
             near = np.where(ids[None, :] == own_id[:, None], -np.inf, near)
             n = min(rerank, len(ids))
-            top = np.sort(np.argpartition(-near, n - 1, axis=1)[:, :n], axis=1)
+            cut = -np.partition(-near, n - 1, axis=1)[:, n - 1]
             for i in range(len(own)):
-                place = top[i][ids[top[i]] != own_id[i]]
+                place = np.flatnonzero((near[i] >= cut[i]) & (ids != own_id[i]))  # all that tie with the last, so copies and vectors of one code stay together
                 s = exact_scores(own[i], x[place]) if metric == "ip" else -np.sqrt(((own[i].astype(np.float64) - x[place].astype(np.float64)) ** 2).sum(-1))
                 first = np.lexsort((ids[place], -s))[:k]
                 out.append((np.full(len(first), own_id[i]), ids[place[first]], s[first]))

@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from polymodal.llm import lm_scoring
+from polymodal.llm import ann, lm_scoring
 
 
 def test_every_word_and_bigram_has_counts_of_its_own(spark):
@@ -39,3 +40,19 @@ def test_keys_and_counts_come_back_as_they_were():
     for top in (2, 300, 70_000, 2**40):
         n = rng.integers(0, top, 50)
         assert np.array_equal(lm_scoring._unpacked(lm_scoring._packed(n), 50), n)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_copies_beyond_the_rerank_go_to_smaller_ids(metric):
+    """5461 copies near the queries in a block: the smallest ids must be among the hits."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(8000, 16)).astype(np.float32)
+    x[rng.permutation(8000)[:5461]] = v = (3 * rng.normal(size=16)).astype(np.float32)
+    books = ann.train(x[:2000], books=4, words=32)
+    codes, ids = ann.encode(x, books), np.arange(8000)
+    norm = np.sqrt((ann.decode(codes, books) ** 2).sum(1))
+    held = pa.table({"vec_id": ids, "vector": pa.array(list(x), pa.list_(pa.float32())), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norm})
+    q = pa.table({"query_id": [100000], "vector": pa.array([v], pa.list_(pa.float32()))})
+    got = ann._search(books, 20, ann.RERANK, metric)((), held, q)
+    s = ann.exact_scores(v, x) if metric == "ip" else -np.sqrt(((v.astype(np.float64) - x) ** 2).sum(1))
+    assert got.column("vec_id").to_pylist() == np.lexsort((ids, -s))[:20].tolist()
