@@ -31,7 +31,7 @@ CASES["vector_top_k_ids"] = (lambda s, d: S.top_k_ids(_emb(s, d), "embedding", Q
 _FILTER = {"must": [{"key": "label", "range": {"gte": 2, "lt": 8}}], "must_not": [{"key": "label", "match": {"value": 5}}], "should": [{"key": "label", "match": {"any": [2, 3, 4]}}, {"has_id": [1, 2, 3]}]}
 CASES["vector_filtered"] = (lambda s, d: S.top_k_hits(_emb(s, d), "embedding", QUERY, 10, "cosine", "vec_id", options={"filter": _FILTER, "offset": 2, "with_payload": True}).select("id", F.round("score", 6).alias("score"), "payload.label", "rank"),
     f"WITH h AS (SELECT vec_id AS id, round({_DISTANCE['cosine']}, 6) AS score, label, row_number() OVER (ORDER BY {_DISTANCE['cosine']}, vec_id) - 2 AS rank FROM embeddings WHERE label >= 2 AND label < 8 AND label <> 5 AND (label IN (2, 3, 4) OR vec_id IN (1, 2, 3))) SELECT * FROM h WHERE rank BETWEEN 1 AND 10")
-CASES["vector_threshold"] = (lambda s, d: S.top_k_hits(_emb(s, d), "embedding", QUERY, 1000000, "l2", "vec_id", distance_threshold=2.6).select("id"), f"SELECT vec_id AS id FROM embeddings WHERE {_DISTANCE['l2']} <= 2.6")
+CASES["vector_threshold"] = (lambda s, d: S.top_k_hits(_emb(s, d), "embedding", QUERY, None, "l2", "vec_id", distance_threshold=2.6).select("id"), f"SELECT vec_id AS id FROM embeddings WHERE {_DISTANCE['l2']} <= 2.6")
 CASES["vector_prefetch"] = (lambda s, d: S.prefetch_hits(_emb(s, d), "embedding", "embedding", QUERY, 5, 50, "l2", "vec_id").select("id", "rank"), f"SELECT vec_id AS id, row_number() OVER (ORDER BY {_DISTANCE['l2']}, vec_id) AS rank FROM embeddings QUALIFY rank <= 5")
 CASES["vector_recommend"] = (lambda s, d: S.recommend_hits(_emb(s, d), "embedding", [1, 2], [3], 8, "l2", "vec_id").select("id", "rank"),
     """WITH q AS (SELECT list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda x: (x[1] + x[2]) - x[3]) AS q FROM embeddings a, embeddings b, embeddings c WHERE a.vec_id = 1 AND b.vec_id = 2 AND c.vec_id = 3),

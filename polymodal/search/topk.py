@@ -36,8 +36,9 @@ def _payload(df: DataFrame, options: dict, column: str, id_col: str) -> Column |
     return F.struct(*(F.col(c) for c in cols)) if cols else None
 
 
-def top_k_hits(df: DataFrame, column: str, query: Sequence[float] | str, k: int, metric: str = "l2", id_col: str = "id", distance_threshold: float | None = None, score_threshold: float | None = None, options: dict | None = None) -> DataFrame:
+def top_k_hits(df: DataFrame, column: str, query: Sequence[float] | str, k: int | None, metric: str = "l2", id_col: str = "id", distance_threshold: float | None = None, score_threshold: float | None = None, options: dict | None = None) -> DataFrame:
     """(id, score, rank[, payload][, vector]): the k nearest rows that pass the filter. Ties go to the smaller id; rows without a vector never hit.
+    With k None (and no limit or offset) every row that passes the filter and thresholds, without a rank.
 
     options: filter, offset, limit (over k), with_payload (true, names, include or exclude), with_vector.
     """
@@ -56,7 +57,12 @@ def top_k_hits(df: DataFrame, column: str, query: Sequence[float] | str, k: int,
     if score_threshold is not None:
         hits = hits.where(F.col("score") >= score_threshold if up else F.col("score") <= score_threshold)
     order = [F.desc("score") if up else F.asc("score"), F.asc("id")]
-    skip, n = int(o.get("offset", 0)), int(o.get("limit", k))
+    if k is None and not {"offset", "limit"} & o.keys():
+        return hits
+    skip, n = int(o.get("offset", 0)), o.get("limit", k)
+    if n is None:
+        raise ValueError("offset needs k or a limit")
+    n = int(n)
     hits = hits.orderBy(*order).limit(n + skip)
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - skip).where("rank > 0")  # over at most k rows
 

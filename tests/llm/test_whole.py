@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from polymodal import search
 from polymodal.llm import ann, lm_scoring
 
 
@@ -56,3 +57,12 @@ def test_copies_beyond_the_rerank_go_to_smaller_ids(metric):
     got = ann._search(books, 20, ann.RERANK, metric)((), held, q)
     s = ann.exact_scores(v, x) if metric == "ip" else -np.sqrt(((v.astype(np.float64) - x) ** 2).sum(1))
     assert got.column("vec_id").to_pylist() == np.lexsort((ids, -s))[:20].tolist()
+
+
+def test_threshold_search_has_no_limit(spark, sf):
+    from polymodal.queries.search import CASES
+
+    plan = CASES["vector_threshold"][0](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Window" not in plan
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "id long, v array<float>")
+    assert {r["id"] for r in search.top_k_hits(df, "v", [0.0], None, distance_threshold=40.0).collect()} == set(range(41))
