@@ -220,9 +220,76 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return narrow.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the words' shingles (A-Z lower-cased; a shorter text is one shingle)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64))
+
+
+#: MinHash bands and values of a band: texts of similarity 0.8 share a band with probability 0.999997.
+BANDS, VALUES = 24, 4
+_MIX = np.random.default_rng(8).integers(0, 2**64, (2, BANDS * VALUES), np.uint64) | np.uint64(1)
+
+
+def _bands(batches):
+    """(node, text) -> (node, key) for each band."""
+    only("simhash")
+    for batch in batches:
+        for part in sliced(batch, 1):
+            node, keys = [], []
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                h = shingle_set(text)
+                if len(h):
+                    least = np.min([(((h[at : at + 4096, None] ^ _MIX[0]) * _MIX[1])).min(0) for at in range(0, len(h), 4096)], axis=0).reshape(BANDS, VALUES)
+                    node += [i] * BANDS
+                    keys += [xxhash.xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(least)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))], names=["node", "key"])
+
+
+def _sets(batches):
+    only("simhash")
+    for batch in batches:
+        for part in sliced(batch, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x).tobytes() for x in part.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+
+
+def _similar(least: float):
+    def run(batches):
+        """(u, v, their shingles) -> (u, v) of the pairs whose Jaccard similarity is at least ``least``."""
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of all rows: components of equal texts and of pairs with exact similarity of five-word shingles of at least ``least``; word-less texts are equal.
+
+    Each band's members are held against one of them, another in each band, so pairs grow with the rows, not with the square of a group.
+    """
+    rows = text_rows(docs, id_col, text_col).withColumn("node", F.xxhash64(F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text"))))
+    bands = materialise(rows.select("node", "text").mapInArrow(_bands, "node long, key long").distinct(), "bands")
+    first = bands.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = materialise(bands.join(first, "key").where("node <> lead").select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct(), "pairs")
+    some = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = materialise(rows.select("node", "text").join(some, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "uv")
+    edges = pairs.join(one, "u").join(two, "v").select("u", "v", "u_set", "v_set").mapInArrow(_similar(least), "u long, v long")
+    linked = materialise(components(edges), "components")
+    member = materialise(rows.select("doc_id", "node").join(linked, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "members")
+    ids = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return member.join(ids, "root").select("doc_id", "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with, of each component, only the rows under its smallest id; all columns unchanged."""
-    verdict = materialise(simhash_classes(docs, id_col, text_col), "verdict")
+    """docs with, of each group of near copies (see near_copies), only the rows under its smallest id; all columns unchanged."""
+    verdict = materialise(near_copies(docs, id_col, text_col), "verdict")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = verdict.groupBy("doc_id").agg(F.bool_or(stays).alias("stays")).where("not stays").select("doc_id")
     return without(docs, gone, id_col)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from polymodal import search
-from polymodal.llm import ann, lm_scoring
+from polymodal.llm import ann, lm_scoring, simhash
 
 
 def test_every_word_and_bigram_has_counts_of_its_own(spark):
@@ -66,3 +66,20 @@ def test_threshold_search_has_no_limit(spark, sf):
     assert "Limit" not in plan and "Window" not in plan
     df = spark.createDataFrame([(i, [float(i)]) for i in range(50)], "id long, v array<float>")
     assert {r["id"] for r in search.top_k_hits(df, "v", [0.0], None, distance_threshold=40.0).collect()} == set(range(41))
+
+
+def test_near_copies_of_similar_texts_go(spark):
+    rng = random.Random(4)
+
+    def changed(ws, n):
+        ws = list(ws)
+        for k in range(n):
+            ws[(k * 37 + 11) % len(ws)] = f"new{rng.random()}"
+        return " ".join(ws)
+
+    texts = []
+    for g in range(20):
+        ws = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts += [" ".join(ws), changed(ws, 3), changed(ws, 12)]  # similarities to the first about 0.86 and 0.53
+    docs = spark.createDataFrame([*enumerate(texts), (100, None), (101, " "), (102, "one"), (103, "ONE")], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {i for i in range(60) if i % 3 != 1} | {100, 102}
