@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,18 @@ def _remove_written() -> None:
             return
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session bounded by bytes (4 MB, where the caller has set no smaller bound), not only by rows: long texts stay few in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.fullmatch(r"(\d+)b?", df.sparkSession.conf.get(name) or "")
+    if not given or not 0 < int(given[1]) <= 4 << 20:
+        df.sparkSession.conf.set(name, 4 << 20)
+    return df
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) of all rows, for Arrow functions; batches of long texts are bounded by bytes, not only by rows."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, text) of all rows, for Arrow functions."""
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,24 +107,59 @@ _LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+(?=[\\x00-@\\[-`{-\\
 _SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
+class WordIds(dict):
+    """Word -> 64-bit id, remembered a worker."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, w: bytes) -> int:
+        v = xxhash.xxh64_intdigest(w)
+        if len(self) < self.most and len(w) <= 64:
+            self[w] = v
+        return v
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def folded_words(text: str | None) -> list[bytes]:
+    """Words between ASCII space, A-Z lower-cased."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def mixed_runs(ids: np.ndarray, k: int) -> np.ndarray:
+    """64-bit marks of all runs of k ids."""
+    n = max(len(ids) - k + 1, 0)
+    h = np.full(n, k, np.uint64)
+    for i in range(k if n else 0):
+        h = (h ^ ids[i : n + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class TokenCoder:
     """Whole texts to ids (bytes of little-endian uint32) by a ``tokenizers`` file, remembering short chunks.
 
     Chunks are a run of white space with the word after it (byte-level pre-tokenizer with its own pattern), or
     words alone (pre-tokenizers that drop white space), words being cut after their leading letters too. Neither pattern ever matches across such
-    a cut, so a text's ids are its chunks' ids in a row. Any other pre-tokenizer gets whole texts.
+    a cut, so a text's ids are its chunks' ids in a row. Any other pre-tokenizer gets whole texts, and so do texts that hold an added token's string, for
+    which the library gives its id; with ``plain`` such strings are ordinary text.
     """
 
     REMEMBERED = 400_000
     LONGEST = 48
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else None
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         spec = json.loads(self.tokenizer.to_str())
@@ -134,9 +178,18 @@ class TokenCoder:
             self.spaced[[i for x, i in vocab.items() if x[0] == "\u0120"]] = True  # how this vocabulary writes a space
         self.known: dict[str, bytes] = {}
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return self._whole(texts)
+        odd = [i for i, x in enumerate(texts) if self.added(x)] if self.added else []
+        if odd:
+            rest = self([x for x in texts if not self.added(x)])
+            for i, x in zip(odd, self._whole([texts[i] for i in odd])):
+                rest.insert(i, x)
+            return rest
         chunks, known = [self.cut(x) for x in texts], self.known
         new = list(set().union(*chunks).difference(known))
         if new:

@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and their edge cases."""
 
+import functools
 import hashlib
 import math
 import random
@@ -11,6 +12,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from polymodal.llm import exact_dedup, language, licenses, lm_scoring, mixing, packing, simhash, token_files
 from polymodal.llm._base import TokenCoder
@@ -21,7 +23,7 @@ LONG = "Word number that goes on, and on. " * 6000
 ODD = [
     (1, "Hello big wide world of words", "a", "en", "x"), (2, "hello BIG wide world of words", "a", "en", "x"), (2, "hello BIG wide world of words", "a", "en", "x"), (3, None, None, None, "x"),
     (4, "", "b", "en", "x"), (None, "hello big wide world of words", "b", None, None), (None, None, None, None, None), (5, LONG, "b", "en", "x"), (6, LONG.upper(), "c", "de", "x"), (7, "Ärger ÄRGER straße", "c", "de", "x"),
-    (8, "ärger ÄRGER straße", "c", "de", "x"), (9, "  \n\t ", "c", "fr", "x"), (10, "12 34 !! ##", "d", "fr", "x"), (11, "one", "d", "en", "x"), (11, "one", "d", "en", "x"), (12, "Licensed under the Apache License, Version 2.0.", "d", "en", "x"),
+    (8, "ärger ÄRGER straße", "c", "de", "x"), (9, "  \n\t ", "c", "fr", "x"), (10, "12 34 !! ##", "d", "fr", "x"), (11, "one", "d", "en", "x"), (11, "one", "d", "en", "x"), (13, "a token <|endoftext|> in text", "d", "en", "x"), (12, "Licensed under the Apache License, Version 2.0.", "d", "en", "x"),
 ]
 SCHEMA = "doc_id long, text string, source string, lang string, fp string"
 
@@ -154,16 +156,36 @@ def test_components_match_union_find(spark):
     assert {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
 
 
+@functools.cache
+def library(name):
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+@functools.cache
+def own_coder(name):
+    return TokenCoder(tokenizer_path(name))
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text() | st.text(alphabet="ab 's\n\t\r  \x1c\x85 12!#éÉßΣ́<|endoftext|>"), max_size=4))
 def test_coder_equals_the_library(name, texts):
-    coder = TokenCoder(tokenizer_path(name))
-    assert [np.frombuffer(x, "<u4").tolist() for x in coder(texts)] == [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own_coder(name)(texts)] == want
+
+
+def test_strings_of_added_tokens_get_their_ids():
+    texts = ["hello <|endoftext|> x", "plain", "", "<|endoftext|>", "<|ENDOFTEXT|> y", "<|startoftext|>a<|endoftext|>"]
+    for name, ids in (("byte_bpe_50k.json", [31373, 220, 50256, 2124]), ("word_bpe_49k.json", [3306, 49407, 343])):
+        got = [np.frombuffer(x, "<u4").tolist() for x in own_coder(name)(texts)]
+        assert got == [e.ids for e in library(name).encode_batch(texts, add_special_tokens=False)] and got[0] == ids
+    plain = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    assert [np.frombuffer(x, "<u4").tolist() for x in TokenCoder(tokenizer_path("byte_bpe_50k.json"), plain=True)(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 def encoded(docs, name, end):
-    t = TokenCoder(tokenizer_path(name)).tokenizer
+    t = library(name)
     return [(r["doc_id"], np.array(t.encode(r["text"] or "", add_special_tokens=False).ids + [end], "<u4")) for r in docs.collect()]
 
 
@@ -286,13 +308,45 @@ def test_quality_weights_favour_documents(spark):
     assert good / sum(r["taken"] for r in rows) > 0.65
 
 
+def plain_bits(sample, text):
+    """Bits of the greedy cross-parsing by substring search."""
+    n = unseen = 0
+    for first in range(0, len(text), language.BLOCK):
+        block, at = text[first : first + language.BLOCK], 0
+        while at < len(block):
+            k = 0
+            while at + k < len(block) and block[at : at + k + 1] in sample:
+                k += 1
+            n, unseen, at = n + 1, unseen + (k == 0), at + max(1, k)
+    return n * math.log2(len(sample) + 1) + unseen * language.UNSEEN
+
+
 class TestLanguage:
     def test_automaton_knows_all_substrings(self):
         text = "abracadabra abra"
         a = language.SuffixAutomaton(text)
         for s in ("abrac", "cad", "xabra", "", "abra abra", "dabraz"):
             assert a.longest(s) == max(k for k in range(len(s) + 1) if s[:k] in text)
-        assert a.phrases("abracadabx abra") == 3
+
+    @settings(max_examples=40, deadline=None)
+    @given(st.integers(0, 2**32), st.integers(1, 5))
+    def test_bits_match_substring_search(self, seed, n_langs):
+        rng = random.Random(seed)
+        samples = {f"l{k}": "".join(rng.choice("abcdeß "[k:]) for _ in range(rng.choice([1, 30, 200]))) for k in range(n_langs)}
+        texts = ["".join(rng.choice("abcdeßq ") for _ in range(rng.choice([1, 7, 80, 2500]))) for _ in range(12)]
+        model = language.CrossParser(samples)
+        assert np.allclose(model.bits(texts), [[plain_bits(samples[k], t) for t in texts] for k in model.langs])
+
+    def test_predictions_match_brute_force(self, spark, table):
+        """Every row's language and score from the samples alone, by substring search."""
+        samples = language.training_samples(table.where(~language.held_out("doc_id")))
+        got = {r["doc_id"]: r for r in language.identify_with_own_labels(table).collect()}
+        for r in table.where("doc_id % 8 = 0").collect():
+            letters = language.letters_of(r["text"])
+            bits = {k: plain_bits(v, letters) for k, v in samples.items()}
+            first, second = sorted(bits.values())[:2]
+            assert got[r["doc_id"]]["lang_pred"] == min(bits, key=lambda k: (bits[k], k))
+            assert got[r["doc_id"]]["score"] == pytest.approx(1 - first / second)
 
     def test_held_out_accuracy(self, spark):
         docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -302,15 +356,53 @@ class TestLanguage:
         held = [r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]
         assert len(held) > 100 and sum(held) / len(held) > 0.97
         assert all(0 <= r["score"] <= 1 for r in rows)
-
-    def test_edges(self, odd, empty):
+        assert language.with_language(docs).count() == docs.count()  # clean documents stay
+
+    def test_every_language_is_learnt_and_little_text_is_enough(self, spark):
+        """70 languages with letters of their own; and one with 1/300 of another's text."""
+        rng = random.Random(9)
+
+        def text(k, n):
+            letters = [chr(0x61 + (k * 7 + i * 5) % 26) for i in range(9)]
+            vocabulary = random.Random(k)
+            words = ["".join(vocabulary.choice(letters) for _ in range(vocabulary.randrange(2, 8))) for _ in range(60)]
+            return " ".join(rng.choice(words) for _ in range(n))
+
+        rows = [(100 * k + i, text(k, 80), f"l{k:02d}") for k in range(70) for i in range(8)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = {r["doc_id"]: r["lang_pred"] for r in language.identify_with_own_labels(df).collect()}
+        assert len(set(got.values())) == 70 and sum(got[i] == k for i, _, k in rows) / len(rows) > 0.95
+        german = "der hund und die katze gehen heute mit uns in den garten und das wetter ist sehr gut weil die sonne scheint und wir alle spazieren wollen im schnee"
+        english = "the dog and the cat go with us to the garden today and the weather is very good because the sun shines and we all want to walk in the snow "
+        model = language.CrossParser({"de": german, "en": "".join(english[i:] + english[:i] for i in range(0, 140)) * 2})
+        assert [x[0] for x in model.predict(["das wetter ist heute sehr gut und wir gehen spazieren", "the weather is good and we walk today"])] == ["de", "en"]
+
+    def test_passages_come_from_whole_texts(self, spark):
+        df = spark.createDataFrame([(k, "a " * 5000 + "end", "x") for k in range(40)], "doc_id long, text string, lang string")
+        samples = language.training_samples(df, passages=300)
+        assert "end" in samples["x"] and len(samples["x"]) <= 301 * (language.PASSAGE + 2)
+
+    def test_ties_and_texts_in_no_language(self, spark):
+        model = language.CrossParser({"b": "one two ", "a": "one two "})
+        assert model.predict(["one", None, "12"]) == [("a", 0.0, True), ("und", 0.0, False), ("und", 0.0, False)]
+        assert language.CrossParser({}).predict(["one"]) == [("und", 0.0, False)]
+        odd = [(900, "кириллица здесь и только она " * 40, "en"), (901, "", "en"), (902, None, "en"), (903, "a word in plain english of the same kind", "en")]
+        docs = spark.createDataFrame([(i, "plain english words of the same kind as a word in the text here", "en") for i in range(60)] + odd, "doc_id long, text string, lang string")
+        assert {r["doc_id"] for r in language.with_language(docs.where("doc_id <> 900")).collect()} == {*range(60), 903}
+        samples = language.training_samples(docs.where("doc_id < 900"))
+        assert [x[2] for x in language.CrossParser(samples).predict([odd[0][1], odd[3][1]])] == [False, True]
+
+    def test_edges(self, spark, odd, empty):
         rows = language.identify_with_own_labels(odd).collect()
         assert len(rows) == len(ODD)
         und = {r["doc_id"] for r in rows if r["lang_pred"] == "und"}
         assert {3, 4, 9, 10} <= und and not und & {1, 2, 5, 7, 11}
-        assert language.identify_with_own_labels(empty).count() == 0
+        assert language.identify_with_own_labels(empty).count() == 0 == language.with_language(empty).count()
         kept = language.with_language(odd)
-        assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None, 5, 6, 7, 8, 11, 12}
+        assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, None, 5, 6, 7, 8, 11, 12, 13}
+        named = odd.withColumnsRenamed({"fp": "a.b"}).withColumn("row", odd["source"]).withColumn("lang_pred", odd["source"]).withColumn("__score", odd["source"])
+        assert language.with_language(named).columns == named.columns and language.with_language(named).count() == kept.count()
+        assert language.with_language(odd.where("doc_id in (1, 4)").selectExpr("doc_id", "text", "cast(null as string) lang")).count() == 1
 
 
 class TestLicenses:
