@@ -83,3 +83,54 @@ def test_near_copies_of_similar_texts_go(spark):
         texts += [" ".join(ws), changed(ws, 3), changed(ws, 12)]  # similarities to the first about 0.86 and 0.53
     docs = spark.createDataFrame([*enumerate(texts), (100, None), (101, " "), (102, "one"), (103, "ONE")], "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {i for i in range(60) if i % 3 != 1} | {100, 102}
+
+
+def similar(a, b):
+    a, b = (set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_match_all_pairs(spark):
+    """Components of all pairs of similarity 0.8 or more, in a table with a large group, chains and equal texts."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 200))] for _ in range(40)]
+    texts = []
+    for k, ws in enumerate(base):
+        for _ in range(150 if k == 0 else rng.randrange(1, 5)):
+            ws = list(ws)
+            for _ in range(rng.randrange(3)):
+                ws[rng.randrange(len(ws))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(ws))
+    texts += texts[:5]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(texts[i], texts[j]) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    want = {i: root(i) for i in range(len(texts))}
+    assert sum(got[i] != want[i] for i in got) <= 0.02 * len(texts) and set(got) == set(want)
+    assert all(want[got[i]] == want[i] for i in got)  # nothing is linked that is not similar
+
+
+@pytest.mark.parametrize("n", [1, 30, 700])
+def test_least_forest_keeps_components_at_every_distance(n):
+    rng = np.random.default_rng(n)
+    i, j = rng.integers(0, n, 3 * n), rng.integers(0, n, 3 * n)
+    far = rng.integers(0, 20, 3 * n)
+    kept = simhash.least_forest(i, j, far, n)
+    for most in (0, 5, 19):
+        every, some = simhash.Forest(n), simhash.Forest(n)
+        every.link(i[far <= most], j[far <= most])
+        own = kept[far[kept] <= most]
+        some.link(i[own], j[own])
+        assert np.array_equal(every.parent, some.parent)
+    assert len(kept) < n
