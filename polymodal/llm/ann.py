@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is coded as the sum of one codeword of each of BOOKS full-dimensional codebooks, found by beam search over
-residuals; the codebooks come from residual k-means on a bounded sample. With each code goes the norm of what it decodes to. A query's
-inner products with all codewords are its lookup table, from which codes are scored; within each block of codes the best, and
-all that tie with the last of them, are reranked by exact inner products in double precision.
+A vector's direction is coded as the sum of one codeword of each of BOOKS full-dimensional codebooks, found by beam search over
+residuals; the codebooks come from residual k-means on a bounded sample. With each code goes the vector's stored norm. A query's
+inner products with all codewords are its lookup table: a row of it a book, summed and times the norm, estimates the inner product, and with both
+norms the distance. Only ids, codes and norms meet the queries; the RERANK best codes of all, and those that tie with the last, meet their original vectors
+for exact scores in double precision.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from ._base import materialise
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Rows that the codebooks are fitted on at most (those first by hash of id); all rows are coded.
 SAMPLE = 8192
-#: Rows of a block of codes, of a block of queries, and codes of a block that are reranked for each query, besides those that tie with the last.
-BLOCK, QUERIES, RERANK = 16384, 8192, 1024
+#: Rows of a block of codes and of a block of queries, and codes that are reranked for each query, besides those that tie with the last.
+BLOCK, QUERIES, RERANK = 65536, 8192, 128
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -72,7 +73,7 @@ def decode(codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
 
 def lookup_scores(queries: np.ndarray, codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
     """[code, query] inner products of queries with what codes decode to, by one table row a book."""
-    out = np.zeros((len(codes), len(queries)), np.float32)
+    out = np.zeros((len(codes), len(queries)))
     for m, c in enumerate(codebooks):
         out += (c @ queries.T)[codes[:, m]]
     return out
@@ -98,74 +99,99 @@ def _encoder(codebooks: np.ndarray):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column(1))
-            codes = encode(x, codebooks)
-            norm = np.sqrt((decode(codes, codebooks) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm.astype(np.float32)), b.column(2)], names=["vec_id", "vector", "code", "norm", "block"])
+            x = _matrix(b.column(1)).astype(np.float64)
+            most = np.abs(x).max(axis=1)  # so that squares neither overflow nor vanish
+            norm = most * np.sqrt(((x / most[:, None]) ** 2).sum(axis=1))
+            codes = encode(x / norm[:, None], codebooks)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), b.column(2)], names=["vec_id", "code", "norm", "block"])
 
     return run
 
 
-def _search(codebooks: np.ndarray, k: int, rerank: int, metric: str):
+def estimates(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, codebooks: np.ndarray, metric: str) -> np.ndarray:
+    """[query, code]: inner products, or for l2 what grows as distances fall."""
+    with np.errstate(over="ignore"):
+        ip = lookup_scores(queries, codes, codebooks).T * norms
+        return ip if metric == "ip" else 2 * ip - norms * norms
+
+
+def _search(codebooks: np.ndarray, rerank: int, metric: str):
     def run(key: tuple, codes: pa.Table, queries: pa.Table) -> pa.Table:
-        kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        """Of a block of codes, for each of a block of queries, the best codes and all that tie with the last of them."""
+        kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("estimate", pa.float64())])
         if not codes.num_rows or not queries.num_rows:
             return kind.empty_table()
-        codes = codes.sort_by("vec_id")
-        ids, x = codes.column("vec_id").to_numpy(), _matrix(codes.column("vector"))
+        ids, norm = codes.column("vec_id").to_numpy(), codes.column("norm").to_numpy()
         code = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        norm = codes.column("norm").to_numpy()
-        qid, q = queries.column("query_id").to_numpy(), _matrix(queries.column("vector"))
+        queries = queries.sort_by("query_id")  # each block of codes sees them in one order, so equal codes score alike in all blocks
+        qid, q = queries.column("query_id").to_numpy(), _matrix(queries.column("vector")).astype(np.float64)
         out: list[tuple] = []
-        for at in range(0, len(qid), 256):
-            own, own_id = q[at : at + 256], qid[at : at + 256]
-            near = lookup_scores(own.astype(np.float32), code, codebooks).T
-            if metric == "l2":
-                near = 2 * near - (norm * norm)[None, :]
-            near = np.where(ids[None, :] == own_id[:, None], -np.inf, near)
+        for at in range(0, len(qid), 64):
+            own_id = qid[at : at + 64]
+            near = estimates(q[at : at + 64], code, norm, codebooks, metric)
+            near[ids[None, :] == own_id[:, None]] = -np.inf
             n = min(rerank, len(ids))
-            cut = -np.partition(-near, n - 1, axis=1)[:, n - 1]
-            for i in range(len(own)):
-                place = np.flatnonzero((near[i] >= cut[i]) & (ids != own_id[i]))  # all that tie with the last, so copies and vectors of one code stay together
-                s = exact_scores(own[i], x[place]) if metric == "ip" else -np.sqrt(((own[i].astype(np.float64) - x[place].astype(np.float64)) ** 2).sum(-1))
-                first = np.lexsort((ids[place], -s))[:k]
-                out.append((np.full(len(first), own_id[i]), ids[place[first]], s[first]))
+            cut = np.partition(near, len(ids) - n, axis=1)[:, len(ids) - n]
+            row, place = np.nonzero((near >= cut[:, None]) & (ids[None, :] != own_id[:, None]))
+            out.append((own_id[row], ids[place], near[row, place]))
         cols = [np.concatenate(c) for c in zip(*out)]
         return pa.table([pa.array(c, t) for c, t in zip(cols, kind.types)], schema=kind)
 
     return run
 
 
+def _exact(metric: str):
+    def run(batches):
+        """(query_id, vec_id, query's vector, vector) -> (query_id, vec_id, score)"""
+        for b in batches:
+            if b.num_rows:
+                q, x = _matrix(b.column(2)), _matrix(b.column(3))
+                s = exact_scores(q, x) if metric == "ip" else -np.sqrt(((q.astype(np.float64) - x.astype(np.float64)) ** 2).sum(-1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, metric: str = "ip", id_col: str = "vec_id", vector_col: str = "embedding", dim: int | None = None) -> DataFrame:
-    """Per query its k nearest rows found: query_id, rank (from 1), vec_id, score (exact inner product; for metric l2 the negative distance).
+    """Per query its k nearest rows found: query_id, rank (from 1), vec_id, score (exact inner product of the original vectors; for metric l2 the negative distance).
 
     is_query is a condition on the columns of vectors (on vec_id, if renamed). Candidates are all rows with another id than the query's. Null, zero and non-finite vectors, vectors
     with null components and null ids take no part, nor do those whose length differs from ``dim`` (default: the commonest length, the smaller of
-    a tie). Equal scores go to the smaller id; a repeated row is a candidate each time. Fewer candidates than k give fewer rows, an empty table none. Queries meet
-    codes in blocks of fixed size, whatever the table's.
+    a tie). Equal scores go to the smaller id. Rows equal in id and vector are one row; of rows with one id and several vectors each is a candidate, and the query is
+    the least of those marked. Fewer candidates than k give fewer rows, an empty table none. Other columns may have any names. Of equal vectors only the
+    k + 1 smallest ids are coded, as no other can be among a query's k nearest. Queries meet codes in blocks of fixed size, whatever the table's.
     """
     if metric not in ("ip", "l2"):
         raise ValueError("metric is ip or l2")
-    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("vec_id is not null")
     spark = vectors.sparkSession
+    own = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = "float" if own == "float" else "double"
+    given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast(f"array<{kind}>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("vec_id is not null")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if dim is None:
         lengths = given.where("vector is not null and size(vector) > 0").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
         if lengths is None:
             return empty
         dim = lengths["d"]
-    x = given.where(usable(F.col("vector"), dim))
-    n, n_queries = x.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
-    if not n:
+    some = given.where(usable(F.col("vector"), dim))
+    # equal vectors meet by hash; the window's limit is taken before the shuffle too, so a vector of any number of copies sends few
+    turn = F.dense_rank().over(Window.partitionBy("vector").orderBy("vec_id"))
+    x = materialise(some.select("vec_id", "vector").withColumn("turn", turn).where(F.col("turn") <= k + 1).drop("turn").distinct(), "vectors")
+    asked = materialise(some.where("is_query").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("vector").alias("vector")), "queries")
+    n, n_queries = x.count(), asked.count()
+    if not n or not n_queries:
         return empty
-    order = F.xxhash64("vec_id", F.lit(11))
-    sample = _matrix(x.select("vector").orderBy(order, "vec_id").limit(SAMPLE).toArrow().column(0))
-    codebooks = train(sample)
-    blocks, query_blocks = -(-n // BLOCK), max(1, -(-n_queries // QUERIES))
+    sample = _matrix(x.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "vector").limit(SAMPLE).select("vector").toArrow().column(0)).astype(np.float64)
+    sample /= np.abs(sample).max(axis=1)[:, None]
+    codebooks = train(sample / np.sqrt((sample * sample).sum(axis=1))[:, None])
+    blocks, query_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
     block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int")
-    coded = x.select("vec_id", "vector", block.alias("block")).mapInArrow(_encoder(codebooks), "vec_id long, vector array<float>, code binary, norm float, block int")
+    coded = materialise(x.select("vec_id", "vector", block.alias("block")).mapInArrow(_encoder(codebooks), "vec_id long, code binary, norm double, block int"), "codes")
     codes = coded.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = x.where("is_query").select(F.col("vec_id").alias("query_id"), "vector", F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = codes.groupBy("block", "qb").cogroup(queries.groupBy("block", "qb")).applyInArrow(_search(codebooks, k, RERANK, metric), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    queries = asked.select("query_id", "vector", F.pmod(F.xxhash64("query_id", F.lit(6)), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    found = codes.groupBy("block", "qb").cogroup(queries.groupBy("block", "qb")).applyInArrow(_search(codebooks, max(RERANK, k), metric), "query_id long, vec_id long, estimate double")
+    best = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("estimate")))
+    pairs = found.withColumn("place", best).where(F.col("place") <= max(RERANK, k)).select("query_id", "vec_id").distinct()
+    scored = pairs.join(asked.withColumnRenamed("vector", "asked"), "query_id").join(x, "vec_id").select("query_id", "vec_id", "asked", "vector").mapInArrow(_exact(metric), "query_id long, vec_id long, score double")
+    nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

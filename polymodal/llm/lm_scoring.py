@@ -1,7 +1,7 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
-Both are bigram models with the same order and smoothing. Words, words as context and pairs of words are counted under 64-bit keys of their own, so the models grow
-with the corpus and are never in one place: documents are dealt to blocks of about BLOCK bytes, each block sends its distinct keys with its
+Both are bigram models with the same order and smoothing over one vocabulary: all distinct words of the corpus, and one for any other. Words, words as context and pairs of words are
+counted under 64-bit keys of their own, so the models grow with the corpus and are never in one place: documents are dealt to blocks of about BLOCK bytes, each block sends its distinct keys with its
 counts to as many buckets, ranges of keys, and gets the sums over all blocks back. Counts cover every document. The background's counts are scaled to as many tokens as the
 target has. A document is scored without its own counts, in both models.
 """
@@ -12,47 +12,38 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import only, remembers, text_rows
+from ._base import WordIds, folded_words, only, remembers, text_rows
 
-#: Counts that the unigram model weighs in the bigram model, and that each word of a vocabulary of 2**VOCABULARY_BITS has beforehand (smoothing alone: any number of words is counted).
-BACK_OFF, BEFOREHAND, VOCABULARY_BITS = 8.0, 0.01, 18
-REMEMBERED = 500_000
+#: Counts that the unigram model weighs in the bigram model, and that each word of the shared vocabulary has beforehand.
+BACK_OFF, BEFOREHAND = 8.0, 0.01
 #: Bytes of text of a block of documents.
 BLOCK = 8 << 20
 _START = 0
+#: Words, words as context and pairs are told apart by their keys' lowest bits.
+_WORD, _CONTEXT, _PAIR = np.uint64(0), np.uint64(1), np.uint64(2)
+_KINDS = ~np.uint64(3)
 #: The key under which all words are counted together.
-_TOTAL = np.uint64(1)
-
-
-class _Ids(dict):
-    """Word -> 64-bit id, remembered a worker."""
-
-    def __missing__(self, w: bytes) -> int:
-        v = xxhash.xxh64_intdigest(w)
-        if len(self) < REMEMBERED and len(w) <= 64:
-            self[w] = v
-        return v
-
-
-_ids = _Ids()
+_TOTAL = np.uint64(7)
+_ids = WordIds()
+remembers("lm", _ids)
 
 
 def tokens(text: str | None) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+    return _ids.of(folded_words(text))
 
 
-remembers("lm", _ids)
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(28))
 
 
 def cells(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(previous ids, keys) of a text's bigrams, the first after the start mark."""
     before = np.concatenate([np.array([_START], np.uint64), ids[:-1]])
-    return before, (before * np.uint64(0x9E3779B97F4A7C15) ^ ids * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
+    return before, _spread(_spread(before) * np.uint64(0x9E3779B97F4A7C15) ^ ids)
 
 
 def _keys(texts: list[np.ndarray]) -> np.ndarray:
@@ -60,7 +51,7 @@ def _keys(texts: list[np.ndarray]) -> np.ndarray:
     out = []
     for ids in texts:
         before, pair = cells(ids)
-        out += [ids, (before ^ np.uint64(0x27D4EB2F165667C5)) * np.uint64(0x9FB21C651E98DF25), pair]
+        out += [ids & _KINDS | _WORD, _spread(before) & _KINDS | _CONTEXT, pair & _KINDS | _PAIR]
     return np.concatenate([*out, np.array([_TOTAL])])
 
 
@@ -113,20 +104,27 @@ def _count(buckets: int):
     return run
 
 
-def _sum(key: tuple, table: pa.Table) -> pa.Table:
-    """A bucket's keys from all blocks -> for each block the sums of its keys, in its order."""
-    asked = [_unfolded(x, n) for x, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist())]
-    cuts = np.cumsum([len(x) for x in asked])[:-1]
-    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-    out = []
-    for name in ("background", "target"):
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, place, np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column(name).to_pylist(), asked)]))
-        out.append(pa.array([_packed(x) for x in np.split(sums[place], cuts)], pa.binary()))
-    return pa.table([table.column("bucket"), table.column("block"), *out], names=["bucket", "block", "background", "target"])
+def _sum(blocks: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """A bucket's keys from all blocks -> for every block the sums of its keys, in its order, and how many distinct words the bucket has."""
+        asked = [_unfolded(x, n) for x, n in zip(table.column("keys").to_pylist(), table.column("n").to_pylist())]
+        cuts = np.cumsum([len(x) for x in asked])[:-1]
+        keys, place = np.unique(np.concatenate(asked), return_inverse=True)
+        words = int(((keys & ~_KINDS) == _WORD).sum())
+        senders = table.column("block").to_pylist()
+        rest = sorted(set(range(blocks)).difference(senders))  # they need the number of words all the same
+        out = []
+        for name in ("background", "target"):
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, place, np.concatenate([_unpacked(x, len(k)) for x, k in zip(table.column(name).to_pylist(), asked)]))
+            out.append(pa.array([_packed(x) for x in np.split(sums[place], cuts)] + [None] * len(rest), pa.binary()))
+        n = len(senders) + len(rest)
+        return pa.table([pa.array([key[0].as_py()] * n, pa.int32()), pa.array(senders + rest, pa.int32()), *out, pa.array([words] * n, pa.int64())], names=["bucket", "block", "background", "target", "words"])
+
+    return run
 
 
-def _losses(ids: np.ndarray, given: np.ndarray, total: tuple[int, int]) -> tuple[float | None, float | None, float | None]:
+def _losses(ids: np.ndarray, given: np.ndarray, total: tuple[int, int], vocabulary: int) -> tuple[float | None, float | None, float | None]:
     """Mean loss of a word in nats under the background, under the target, and under the target if the text is part of it; None without a target. given: counts [corpus][kind][place]."""
     if not total[1]:
         return None, None, None
@@ -136,14 +134,14 @@ def _losses(ids: np.ndarray, given: np.ndarray, total: tuple[int, int]) -> tuple
         own.append(many[place])
     without = np.maximum(given - np.stack(own), 0)
     size, less = max(total[0] - n, 1), max(total[1] - n, 0)
-    return _loss(without[0], size, total[1] / size), _loss(given[1], total[1], 1.0), _loss(without[1], less, 1.0)
+    return tuple(float(-np.log(probability(c, size_, scale, vocabulary)).mean()) for c, size_, scale in ((without[0], size, total[1] / size), (given[1], total[1], 1.0), (without[1], less, 1.0)))
 
 
-def _loss(counts: np.ndarray, total: float, scale: float) -> float:
+def probability(counts: np.ndarray, total: float, scale: float, vocabulary: int) -> np.ndarray:
+    """Of each word after its context; counts: of the words, of the contexts, of the pairs. Over a vocabulary, all words of the corpus and one for any other, they sum to one."""
     word, context, pair = counts * scale
-    p = (word + BEFOREHAND) / (total * scale + BEFOREHAND * (1 << VOCABULARY_BITS))
-    p = (np.minimum(pair, context) + BACK_OFF * p) / (context + BACK_OFF)
-    return float(-np.log(p).mean())
+    p = (word + BEFOREHAND) / (total * scale + BEFOREHAND * vocabulary)
+    return (pair + BACK_OFF * p) / (context + BACK_OFF)
 
 
 def _score(buckets: int):
@@ -151,7 +149,9 @@ def _score(buckets: int):
         only("lm")
         texts = [tokens(x.as_py()) for x in docs.column("text")]
         keys, place = np.unique(_keys([x for x in texts if len(x)]), return_inverse=True)
-        cuts, sums = np.diff(_cuts(keys, buckets)), sums.sort_by("bucket")
+        cuts = np.diff(_cuts(keys, buckets))
+        vocabulary = 1 + sum(sums.column("words").to_pylist())
+        sums = sums.filter(sums.column("background").is_valid()).sort_by("bucket")
         got = []
         if sums.num_rows:
             sizes = [int(cuts[k]) for k in sums.column("bucket").to_pylist()]
@@ -160,7 +160,7 @@ def _score(buckets: int):
         out, at = [], 0
         for ids in texts:
             n = len(ids)
-            out.append((n, *(_losses(ids, got[:, place[at : at + 3 * n].reshape(3, n)], total) if n else (None, None, None))))
+            out.append((n, *(_losses(ids, got[:, place[at : at + 3 * n].reshape(3, n)], total, vocabulary) if n else (None, None, None))))
             at += 3 * n
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
         return pa.table([docs.column("doc_id"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=["doc_id", "n_tokens", "background", "outside", "within"])
@@ -185,7 +185,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, id_col: str =
     # texts, ids and counts grow with the corpus and meet in shuffles by block or bucket at any size
     dealt = rows.select("doc_id", "text", block(F.coalesce("doc_id", F.xxhash64("text")))).groupBy("block")
     counts = dealt.cogroup(ids.select(F.col("__t").alias("t"), block("__t")).groupBy("block")).applyInArrow(_count(n), "bucket int, block int, n int, keys binary, background binary, target binary")
-    sums = counts.groupBy("bucket").applyInArrow(_sum, "bucket int, block int, background binary, target binary")
+    sums = counts.groupBy("bucket").applyInArrow(_sum(n), "bucket int, block int, background binary, target binary, words long")
     scored = dealt.cogroup(sums.groupBy("block")).applyInArrow(_score(n), "doc_id long, n_tokens long, background double, outside double, within double")
     out = scored.join(ids, scored["doc_id"] == ids["__t"], "left").withColumn("in_target", F.col("__t").isNotNull())
     target = F.when(F.col("in_target"), F.col("within")).otherwise(F.col("outside"))

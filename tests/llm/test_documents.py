@@ -461,30 +461,6 @@ class TestLmScoring:
         assert max(r["score"] for r in rows if r["doc_id"] % 2) < min(r["score"] for r in rows if r["doc_id"] % 2 == 0)
         assert all(r["n_tokens"] == 80 and r["score"] == pytest.approx(r["ce_target"] - r["ce_background"]) for r in rows)
 
-    def test_matches_plain_counts(self, odd):
-        """The same smoothing over Counters of word ids and cells, leaving the document out."""
-        targets = odd.where("doc_id in (1, 5, 12)").select("doc_id")
-        rows = {(r["doc_id"], r["n_tokens"], r["in_target"]): r for r in lm_scoring.cross_entropy_difference(odd, targets).collect()}
-        size = 1 << lm_scoring.VOCABULARY_BITS
-        texts = [(i, lm_scoring.tokens(t), i in (1, 5, 12)) for i, t, *_ in ODD]
-        i, ids, _ = texts[0]
-        total = [sum(len(t) for k, t, f in texts if k != 1), sum(len(t) for k, t, f in texts if f and k != 1)]
-        for corpus, name in ((1, "ce_target"), (0, "ce_background")):
-            word, context, pair = Counter(), Counter(), Counter()
-            for k, t, f in texts:
-                if k != 1 and len(t) and (f or not corpus):
-                    before, cell = lm_scoring.cells(t)
-                    word.update(t.tolist())
-                    context.update(before.tolist())
-                    pair.update(cell.tolist())
-            scale = 1 if corpus else total[1] / total[0]
-            loss = 0
-            for w, v, c in zip(ids.tolist(), *(x.tolist() for x in lm_scoring.cells(ids))):
-                p = (word[w] * scale + lm_scoring.BEFOREHAND) / (total[1] + lm_scoring.BEFOREHAND * size)
-                p = (min(pair[c], context[v]) * scale + lm_scoring.BACK_OFF * p) / (context[v] * scale + lm_scoring.BACK_OFF)
-                loss -= math.log(p) / len(ids)
-            assert rows[(1, 6, True)][name] == pytest.approx(loss, rel=1e-4)
-
     def test_edges(self, odd, empty):
         rows = lm_scoring.cross_entropy_difference(odd, odd.select("doc_id").where("doc_id = 1")).collect()
         assert len(rows) == len(ODD) and all(r["score"] is None for r in rows if not r["n_tokens"])

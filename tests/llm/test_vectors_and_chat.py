@@ -51,6 +51,11 @@ def test_vectors_that_take_no_part(spark):
     assert all(v != q for q in of for _, v in of[q])
     assert ann.nearest(df.where("vec_id = 20"), F.col("vec_id") == 20).count() == 0
     assert ann.nearest(df.limit(0), F.col("vec_id") == 20).count() == 0
+    twice = spark.createDataFrame([(20, [0.1, 0.2]), (20, [0.1, 0.2]), (20, [5.0, 5.0]), (1, [0.3, 0.7]), (1, [0.3, 0.7]), (2, [1e300, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(twice, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(1, 2, 0.1 * 1e300 + 0.2), (2, 1, 0.1 * 0.3 + 0.2 * 0.7)]  # doubles throughout; rows alike are one row, and the query is the least of its id
+    named = df.selectExpr("vec_id", "embedding", "code as vector", "code as block", "code as qb", "code as query_id", "code as norm")
+    assert ann.nearest(named, F.col("vec_id") == 20, k=3).count() == 3
     l2 = ann.nearest(df.where("vec_id < 200"), F.col("vec_id") == 0, k=1, metric="l2").collect()
     assert l2[0]["vec_id"] == 20 and l2[0]["score"] == -1.0
 

@@ -5,7 +5,6 @@ import random
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from polymodal import search
@@ -17,21 +16,69 @@ def test_every_word_and_bigram_has_counts_of_its_own(spark):
     texts = [" ".join(f"w{rng.randrange(400_000)}" for _ in range(2000)) for _ in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = [t.split() for t in texts]
-    count = Counter(w for ws in words for w in ws)
-    context, pair = Counter(v for ws in words for v in ["", *ws[:-1]]), Counter(p for ws in words for p in zip(["", *ws[:-1]], ws))
-    assert len(pair) > 390_000 and len(count) > 250_000
-    total, target = sum(map(len, words)), sum(map(len, words[::10]))
+    assert len({w for ws in words for w in ws}) > 250_000
     rows = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs, docs.where("doc_id % 10 = 0").select("doc_id")).collect()}
     assert len(rows) == 200
-    for i in (0, 7, 130):
-        ws, before = words[i], ["", *words[i][:-1]]
-        own = Counter(ws), Counter(before), Counter(zip(before, ws))
-        scale, loss = target / (total - len(ws)), 0
-        for v, w in zip(before, ws):
-            p = ((count[w] - own[0][w]) * scale + lm_scoring.BEFOREHAND) / (target + lm_scoring.BEFOREHAND * (1 << lm_scoring.VOCABULARY_BITS))
-            c = (context[v] - own[1][v]) * scale
-            loss -= math.log(((pair[v, w] - own[2][v, w]) * scale + lm_scoring.BACK_OFF * p) / (c + lm_scoring.BACK_OFF)) / len(ws)
-        assert rows[i]["ce_background"] == pytest.approx(loss, rel=1e-6)
+    want = plain_losses(words, {i for i in range(200) if i % 10 == 0})
+    for i in range(200):
+        assert (rows[i]["ce_target"], rows[i]["ce_background"]) == pytest.approx(want[i], rel=1e-9)
+
+
+def plain_losses(words, targets):
+    """(target, background) losses of each list of words by Counters of words and pairs, its own counts left out."""
+
+    def counts(texts):
+        return Counter(w for ws in texts for w in ws), Counter(v for ws in texts if ws for v in ["", *ws[:-1]]), Counter(p for ws in texts for p in zip(["", *ws[:-1]], ws))
+
+    every, chosen = counts(words), counts([ws for i, ws in enumerate(words) if i in targets])
+    vocabulary = len(every[0]) + 1
+    n_every, n_chosen = sum(every[0].values()), sum(chosen[0].values())
+    out = []
+    for i, ws in enumerate(words):
+        if not ws or not n_chosen:
+            out.append((None, None))
+            continue
+        own, none = counts([ws]), (Counter(), Counter(), Counter())
+        size = max(n_every - len(ws), 1)
+        losses = []
+        for corpus, less, total, scale in ((chosen, own if i in targets else none, n_chosen - (len(ws) if i in targets else 0), 1.0), (every, own, size, n_chosen / size)):
+            loss = 0
+            for v, w in zip(["", *ws[:-1]], ws):
+                word, context, pair = ((c[k] - x[k]) * scale for c, x, k in zip(corpus, less, (w, v, (v, w))))
+                p = (word + lm_scoring.BEFOREHAND) / (total * scale + lm_scoring.BEFOREHAND * vocabulary)
+                loss -= math.log((pair + lm_scoring.BACK_OFF * p) / (context + lm_scoring.BACK_OFF)) / len(ws)
+            losses.append(loss)
+        out.append(tuple(losses))
+    return out
+
+
+def test_all_rows_score_as_plain_counts_do(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in table.collect()}
+    ids = sorted(texts)
+    targets = {r["doc_id"] for r in labels.collect()}
+    want = plain_losses([[w.decode() for w in texts[i]] for i in ids], {k for k, i in enumerate(ids) if i in targets})
+    got = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(table, labels).collect()}
+    for i, (target, background) in zip(ids, want):
+        r = got[i]
+        assert (r["n_tokens"], r["in_target"]) == (len(texts[i]), i in targets)
+        if target is None:
+            assert r["score"] is None
+        else:
+            assert (r["ce_target"], r["ce_background"], r["score"]) == pytest.approx((target, background, target - background), rel=1e-9, abs=1e-9)
+
+
+def test_probabilities_sum_to_one():
+    rng = random.Random(2)
+    text = [rng.choice("abcdefg") for _ in range(500)]
+    word, context, pair = Counter(text), Counter(["", *text[:-1]]), Counter(zip(["", *text[:-1]], text))
+    vocabulary = len(word) + 1
+    for v in ["", *"abcdefg", "never"]:
+        for scale in (1.0, 0.37):
+            counts = np.array([[x[k] for k in keys] for x, keys in ((word, [*"abcdefg", "?"]), (context, [v] * 8), (pair, [(v, w) for w in "abcdefg?"]))], float)
+            total = lm_scoring.probability(counts, 500, scale, vocabulary).sum()
+            assert total == pytest.approx(1, abs=1e-12)
 
 
 def test_keys_and_counts_come_back_as_they_were():
@@ -44,19 +91,34 @@ def test_keys_and_counts_come_back_as_they_were():
 
 
 @pytest.mark.parametrize("metric", ["ip", "l2"])
-def test_copies_beyond_the_rerank_go_to_smaller_ids(metric):
-    """5461 copies near the queries in a block: the smallest ids must be among the hits."""
+def test_copies_beyond_the_rerank_go_to_smaller_ids(spark, metric):
+    """A third of all rows are copies of one vector: the smallest ids must be among the hits."""
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(8000, 16)).astype(np.float32)
-    x[rng.permutation(8000)[:5461]] = v = (3 * rng.normal(size=16)).astype(np.float32)
-    books = ann.train(x[:2000], books=4, words=32)
-    codes, ids = ann.encode(x, books), np.arange(8000)
-    norm = np.sqrt((ann.decode(codes, books) ** 2).sum(1))
-    held = pa.table({"vec_id": ids, "vector": pa.array(list(x), pa.list_(pa.float32())), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "norm": norm})
-    q = pa.table({"query_id": [100000], "vector": pa.array([v], pa.list_(pa.float32()))})
-    got = ann._search(books, 20, ann.RERANK, metric)((), held, q)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[rng.permutation(3000)[:1000]] = v = (3 * rng.normal(size=16)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(100000, v.tolist())], "vec_id long, embedding array<float>")
+    got = [r["vec_id"] for r in ann.nearest(df, df["vec_id"] == 100000, metric=metric).orderBy("rank").collect()]
     s = ann.exact_scores(v, x) if metric == "ip" else -np.sqrt(((v.astype(np.float64) - x) ** 2).sum(1))
-    assert got.column("vec_id").to_pylist() == np.lexsort((ids, -s))[:20].tolist()
+    assert got == np.lexsort((np.arange(3000), -s))[:20].tolist()
+
+
+def test_recall_where_few_are_reranked(spark):
+    """12,000 rows of 32 dimensions in clusters, doubles: under 2% of them are scored exactly."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 12000)] + 0.4 * rng.normal(size=(12000, 32))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert ann.RERANK / 12000 < 0.02
+    for metric in ("ip", "l2"):
+        hits = 0
+        rows = ann.nearest(df, df["vec_id"] % 100 == 0, metric=metric).collect()
+        for q in range(0, 12000, 100):
+            s = x @ x[q] if metric == "ip" else -((x - x[q]) ** 2).sum(1)
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20].tolist()) & {r["vec_id"] for r in rows if r["query_id"] == q})
+        assert hits / (20 * 120) >= 0.9
+        if metric == "ip":
+            assert all(r["score"] == float((x[r["query_id"]] * x[r["vec_id"]]).sum()) for r in rows[:50])
 
 
 def test_threshold_search_has_no_limit(spark, sf):
