@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ._base import materialise
 
-SLICES = 4096
+#: Slices of the sampling key: this many each time it doubles, so a slice holds about a thousandth of a source's rows at most, whatever their weights.
+SLICES = 256
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#$%&*|<>{}=!]"
 
@@ -29,9 +30,9 @@ def default_quality(text: Column, size: Column) -> Column:
 
 
 def sampling_key(doc_id: Column, quality: Column, seed: int) -> Column:
-    """-ln(u) / quality, u in (0, 1) from the id's MD5, so reruns agree. Infinite for weights that are not above zero."""
+    """-ln(u) / quality, u in (0, 1) from the id's MD5, so reruns agree. Rows of weights not above zero (null, NaN, below 1e-20) come after all others, in random order too."""
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    return F.when(quality > 0, -F.log(u) / quality).otherwise(F.lit(float("inf")))
+    return F.when((quality >= 1e-20) & ~F.isnan(quality.cast("double")), -F.log(u) / quality).otherwise(F.lit(1e30) * (F.lit(1.0) - F.log(u)))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -60,7 +61,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality
 
 def thresholds(keyed: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
     """One row a source: source, source_size, target, epochs, and where its sample ends (at_key, at_id, at_size, at_taken)."""
-    cut = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * SLICES), F.lit(SLICES - 1)).cast("int")
+    cut = F.floor(F.log2(F.greatest("__key", F.lit(1e-300))) * SLICES).cast("int")
     keyed = keyed.withColumn("__slice", cut)
     slices = materialise(keyed.groupBy("__source", "__slice").agg(F.sum("__size").alias("words")), "slices")
     goal = targets(slices.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size")), weights, budget, most)
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget: f
 
     The row at which a source's sample ends gives its leading words only, so each source's taken words are its target rounded down. Null texts have no words,
     a null source is a source, null ids are one id; equal ids tie by size, and rows alike in all of these share what is left evenly. A source
-    without words has target 0. An empty table gives no rows. Quality weights not above zero come last.
+    without words has target 0. Very long texts are counted whole; other columns are ignored. An empty table gives no rows. Quality weights not above zero come last.
     """
     own = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), *_keyed(docs, id_col, text_col, source_col, quality, seed)), "keyed")
     goal = materialise(thresholds(own.drop("doc_id"), weights, budget, most), "thresholds")
@@ -102,11 +103,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget:
     Rows without words are in every epoch, and so stay once at least where their source has a whole epoch.
     """
     keyed = _keyed(docs, id_col, text_col, source_col, quality, seed)
-    goal = materialise(thresholds(docs.select(*keyed), weights, budget, most), "thresholds")
-    goal = goal.withColumn("__whole", F.when(2 * F.col("at_taken") >= F.col("at_size"), F.col("at_size")).otherwise(F.lit(0)))
+    goal = materialise(thresholds(materialise(docs.select(*keyed), "keyed"), weights, budget, most), "thresholds")
+    goal = goal.withColumn("whole", F.when(2 * F.col("at_taken") >= F.col("at_size"), F.col("at_size")).otherwise(F.lit(0)))
     row, end = F.struct("__key", "__id", "__size"), F.struct("at_key", "at_id", "at_size")
-    once = F.when(F.col("at_key").isNull(), F.lit(0)).when((row < end) | ((row == end) & (F.col("__whole") > 0)), F.lit(1)).otherwise(F.lit(0))
-    goal = goal.withColumnsRenamed({c: f"__t_{c}" for c in ("source", "source_size", "target", "rest")})
-    wide = docs.select("*", *keyed)
-    out = wide.join(goal, wide["__source"].eqNullSafe(goal["__t_source"])).withColumn("__times", (F.col("epochs") + once).cast("int"))
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)
+    once = F.when(F.col("at_key").isNull(), F.lit(0)).when((row < end) | ((row == end) & (F.col("whole") > 0)), F.lit(1)).otherwise(F.lit(0))
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), *keyed)  # the input's own columns travel as one, whatever their names
+    out = wide.join(goal, wide["__source"].eqNullSafe(goal["source"])).select("__row", F.explode(F.array_repeat(F.lit(1), (F.col("epochs") + once).cast("int"))))
+    return out.select("__row.*")

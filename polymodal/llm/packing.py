@@ -143,7 +143,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY,
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian uint32, if keep_ids).
 
     A document is its whole text's ids and end_id; null texts are empty, so every row gives a piece at least. Rows that repeat, ids too, are
-    documents of their own; a null id stays null. Sequences are gapless and hold at most capacity tokens. An empty table gives no rows.
+    documents of their own; a null id stays null. Sequences are gapless and hold at most capacity tokens. Very long texts are encoded whole and cut into
+    pieces; other columns are ignored, whatever their names. An empty table gives no rows.
     """
     if not 2 <= capacity <= 1 << 20:
         raise ValueError("capacity must be in 2..2**20")

@@ -2,9 +2,9 @@
 
 A shard is an Arrow IPC file whose rows are sequences of ``length`` ids (uint16 where the vocabulary allows, else uint32) and the mask of those that are
 real; only a shard's last row is padded. Rows have one size, so any range of tokens is an address: readers map the file and get
-views without copying. Beside each shard lies an index (doc_id, start in the shard, n_tokens). Documents are dealt to shards by range of doc_id, so
-shards in order are all documents in order. A shard is written under its attempt's own name and then renamed, so a
-repeated task leaves one whole file.
+views without copying, of ids and masks alike. Beside each shard lies an index (doc_id, start in the shard, n_tokens). Documents are dealt to shards by range of doc_id, so
+shards in order are all documents in order. A shard and its index carry the name of the attempt that wrote them, and the manifest, which only
+successful attempts enter, says which belong together: what a lost or repeated attempt leaves behind is never read.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class TokenWriter:
     def __init__(self, sink, length: int, wide: bool):
         kind = pa.uint32() if wide else pa.uint16()
         self.dtype, self.length, self.buffer, self.held = np.dtype("<u4" if wide else "<u2"), length, [], 0
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out = ipc.new_file(sink, self.schema)
         self.total = 0
 
@@ -54,8 +54,8 @@ class TokenWriter:
             self.buffer, self.held = [flat[whole:]], len(flat) - whole
 
     def _rows(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), bool)
-        mask[:real] = True
+        mask = np.zeros(len(flat), np.uint8)
+        mask[:real] = 1
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -89,7 +89,7 @@ class TokenFile:
 
     def mask(self, row: int) -> np.ndarray:
         col = self._get(row // BATCH).column("mask")
-        return col.flatten().to_numpy(zero_copy_only=False)[row % BATCH * self.length : (row % BATCH + 1) * self.length]
+        return col.flatten().to_numpy(zero_copy_only=True)[row % BATCH * self.length : (row % BATCH + 1) * self.length]
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         size, out = self.length * BATCH, []
@@ -104,7 +104,8 @@ class TokenFile:
 def _write(folder: str, path: str, end_id: int, length: int):
     def run(batches):
         task = TaskContext.get()
-        shard, own = task.partitionId(), f"-{task.taskAttemptId()}.part"
+        shard = task.partitionId()
+        name = f"{shard:06d}-{task.taskAttemptId()}"
         where, top = _fs(folder)
         where.create_dir(top, recursive=True)
         sink = index = writer = None
@@ -114,7 +115,7 @@ def _write(folder: str, path: str, end_id: int, length: int):
                 for part in sliced(batch, 1):
                     if writer is None:
                         wide = max(coder(path).tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) > 0xFFFF
-                        sink, place = where.open_output_stream(f"{top}/shard-{shard:06d}{own}"), where.open_output_stream(f"{top}/index-{shard:06d}{own}")
+                        sink, place = where.open_output_stream(f"{top}/shard-{name}.arrow"), where.open_output_stream(f"{top}/index-{name}.arrow")
                         writer, index = TokenWriter(sink, length, wide), ipc.new_file(place, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
                     starts, sizes = [], []
                     for raw in coder(path)([x or "" for x in part.column(1).to_pylist()]):
@@ -130,17 +131,16 @@ def _write(folder: str, path: str, end_id: int, length: int):
                 sink.close()
                 place.close()
         if writer is not None:
-            for name in ("shard", "index"):
-                where.move(f"{top}/{name}-{shard:06d}{own}", f"{top}/{name}-{shard:06d}.arrow")
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([writer.total], pa.int64())], names=["shard", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([writer.total], pa.int64())], names=["shard", "name", "n_tokens"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[tuple[int, int]]]:
-    """Writes all documents in ascending id order (null ids first; equal ids by text); returns the folder and its shards as (number, tokens), in order.
+def write_token_files(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGTH, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, list[tuple[str, int]]]:
+    """Writes all documents in ascending id order (null ids first; equal ids by a hash of the text, then the text); returns the folder and its shards as (name, tokens), in order.
 
-    Null texts are empty, so each row has its end id at least; repeated rows are written as often as they occur. An empty table gives no shard.
+    Null texts are empty, so each row has its end id at least; repeated rows are written as often as they occur, very long texts whole. An empty table gives no shard. Other
+    columns are ignored, whatever their names.
     folder is a URI that pyarrow opens and all executors share; by default a new one below spark.checkpoint.dir.
     """
     spark = docs.sparkSession
@@ -148,31 +148,32 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, length: int =
     if "://" not in folder:
         folder = f"file://{folder.removeprefix('file:')}"
     rows = text_rows(docs, id_col, text_col)
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    done = materialise(dealt.mapInArrow(_write(folder, path, end_id, length), "shard int, n_tokens long"), "manifest")
-    return folder, sorted((r["shard"], r["n_tokens"]) for r in done.collect())  # a row a shard
+    turn = F.xxhash64("text")  # rows under one id, or none, spread over shards too
+    dealt = rows.withColumn("turn", turn).repartitionByRange("doc_id", "turn").sortWithinPartitions("doc_id", "turn", "text").drop("turn")
+    done = materialise(dealt.mapInArrow(_write(folder, path, end_id, length), "shard int, name string, n_tokens long"), "manifest")
+    return folder, [(r["name"], r["n_tokens"]) for r in done.orderBy("shard").collect()]  # a row a shard
 
 
-def _read(folder: str, shards: list[tuple[int, int]]):
-    base = dict(zip((s for s, _ in shards), np.concatenate([[0], np.cumsum([n for _, n in shards])]).tolist()))
+def _read(folder: str, shards: list[tuple[str, int]]):
+    base = np.concatenate([[0], np.cumsum([n for _, n in shards])]).tolist()
 
     def run(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                shard = shards[k][0]
-                tokens, (where, top) = TokenFile(f"{folder}/shard-{shard:06d}.arrow"), _fs(folder)
-                with where.open_input_file(f"{top}/index-{shard:06d}.arrow") as f:
+                name = shards[k][0]
+                tokens, (where, top) = TokenFile(f"{folder}/shard-{name}.arrow"), _fs(folder)
+                with where.open_input_file(f"{top}/index-{name}.arrow") as f:
                     index = ipc.open_file(f)
                     for i in range(index.num_record_batches):
                         part = index.get_batch(i)
                         starts = part.column("start").to_pylist()
                         crc = [zlib.crc32(tokens.tokens(s, n).astype("<u4").tobytes()) for s, n in zip(starts, part.column("n_tokens").to_pylist())]
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(starts, np.int64) + base[shard]), part.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(starts, np.int64) + base[k]), part.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
 
-def read_token_files(spark, folder: str, shards: list[tuple[int, int]]) -> DataFrame:
+def read_token_files(spark, folder: str, shards: list[tuple[str, int]]) -> DataFrame:
     """Per document, from the files alone: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32."""
     n = len(shards)
     return spark.range(0, n, 1, max(1, n)).mapInArrow(_read(folder, shards), "doc_id long, start long, n_tokens long, ids_crc32 long")
