@@ -57,7 +57,7 @@ MACROS = {
     "cardinality": lambda a: f"size({a})",
     "array_get": lambda a, i: f"get({a}, CAST({i} AS INT) - 1)",
     "array_ndims": lambda a: f"(CASE WHEN size({a}) > 0 THEN CASE WHEN typeof({a}) LIKE 'array<array<array%' THEN 3 WHEN typeof({a}) LIKE 'array<array%' THEN 2 ELSE 1 END END)",
-    "array_dims": lambda a: f"(CASE WHEN size({a}) > 0 THEN concat('[1:', size({a}), ']') END)",
+    "array_dims": lambda a: f"(CASE WHEN size({a}) > 0 THEN concat('[1:', size({a}), ']', coalesce(concat('[1:', json_array_length(get_json_object(to_json({a}), '$[0]')), ']'), '')) END)",
     "string_to_array": _string_to_array,
     "array_fill": lambda v, n, *_: f"array_repeat({v}, {f'get({n}, 0)' if n.startswith('array') else n})",
     "array_sample": lambda a, n: f"slice(shuffle({a}), 1, {n})",
@@ -78,6 +78,6 @@ MACROS = {
     "last": lambda a: f"try_element_at({a}, -1)",
     "tail": lambda a: f"(CASE WHEN size({a}) > 1 THEN slice({a}, 2, size({a}) - 1) ELSE slice({a}, 1, 0) END)",
     "keys": lambda m: f"map_keys({m})",
-    "row": lambda *a: f"struct({', '.join(a)})",
+    "row": lambda *a: f"struct({', '.join(f'{x} AS f{k}' for k, x in enumerate(a, 1))})",
     "pg_typeof": lambda x: f"(CASE typeof({x}) WHEN 'int' THEN 'integer' WHEN 'string' THEN 'text' WHEN 'double' THEN 'double precision' WHEN 'float' THEN 'real' WHEN 'timestamp' THEN 'timestamp with time zone' WHEN 'timestamp_ntz' THEN 'timestamp without time zone' WHEN 'binary' THEN 'bytea' ELSE CASE WHEN typeof({x}) LIKE 'decimal%' THEN 'numeric' ELSE typeof({x}) END END)",
 }

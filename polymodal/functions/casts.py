@@ -12,6 +12,7 @@ def _strict(x, kind):
 
 MACROS = {
     **{k: (lambda x, *_, t=t: f"CAST({x} AS {t})") for k, t in _CASTS.items()},
+    "char": lambda x: f"substring({x}, 1, 1)" if x.startswith("'") else f"char({x})",
     "interval": lambda x: f"CAST({x} AS INTERVAL DAY TO SECOND)",
     "toboolean": lambda x: _BOOLEAN.format(x, ""),
     "tobooleanornull": lambda x: _BOOLEAN.format(x, ""),

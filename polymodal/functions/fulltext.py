@@ -240,7 +240,7 @@ MACROS = {
     "ts_rank": lambda v, q, *_: f"pm_ts_rank({v}, {q})", "ts_rank_cd": lambda v, q, *_: f"pm_ts_rank_cd({v}, {q})", "ts_headline": lambda *a: f"pm_ts_headline({a[-2]}, {a[-1]})" if len(a) == 2 or a[0].startswith(("'english", "'simple")) else f"pm_ts_headline({a[0]}, {a[1]})",
     "ts_lexize": lambda d, w: f"pm_ts_lexize({w})", "ts_match": lambda v, q: f"pm_ts_match({v}, {q})", "strip": lambda v: f"regexp_replace({v}, ':[0-9A-D,]+', '')", "tsvector_to_array": lambda v: f"regexp_extract_all({v}, '\\'([^\\']*)\\'', 1)", "array_to_tsvector": lambda a: f"array_join(transform(array_sort(array_distinct({a})), x -> concat('\\'', x, '\\'')), ' ')",
     "numnode": lambda q: f"regexp_count({q}, '\\'[^\\']*\\'|[&|!]|<[-0-9]+>')", "setweight": lambda v, w: f"regexp_replace({v}, '([0-9]+)[A-D]?', concat('$1', {w}))", "tsquery_phrase": lambda a, b, n=None: f"concat({a}, ' <', {n or chr(39) + '-' + chr(39)}, '> ', {b})", "ts_delete": lambda v, w: f"pm_ts_delete({v}, {w if w.startswith('array') else f'array({w})'})", "ts_filter": lambda v, w: f"pm_ts_filter({v}, {w})", "tsquery": lambda q: q,
-    "json_to_tsvector": lambda *a: f"pm_to_tsvector({a[0] if len(a) == 2 else a[1]}, 'english')", "jsonb_to_tsvector": lambda *a: f"pm_to_tsvector({a[0] if len(a) == 2 else a[1]}, 'english')", "ts_rewrite": lambda q, a, b: f"replace({q}, {a}, concat('( ', {b}, ' )'))",
+    "json_to_tsvector": lambda *a: f"pm_to_tsvector(pm_json_strings({a[0] if len(a) == 2 else a[1]}), 'english')", "jsonb_to_tsvector": lambda *a: f"pm_to_tsvector(pm_json_strings({a[0] if len(a) == 2 else a[1]}), 'english')", "ts_rewrite": lambda q, a, b: f"replace({q}, {a}, concat('( ', {b}, ' )'))",
 }
 
 

@@ -22,7 +22,8 @@ def idiv(a: str, b: str) -> str:
     return f"({a} div {b})"
 
 
-_DEG = {"sind": "sin(radians({0}))", "cosd": "cos(radians({0}))", "tand": "tan(radians({0}))", "cotd": "1 / tan(radians({0}))", "asind": "degrees(asin({0}))", "acosd": "degrees(acos({0}))", "atand": "degrees(atan({0}))"}
+#: Rounded where a double's last digits would hide the exact values at whole angles.
+_DEG = {"sind": "round(sin(radians({0})), 15)", "cosd": "round(cos(radians({0})), 15)", "tand": "round(tan(radians({0})), 15)", "cotd": "round(1 / tan(radians({0})), 15)", "asind": "round(degrees(asin({0})), 13)", "acosd": "round(degrees(acos({0})), 13)", "atand": "round(degrees(atan({0})), 13)"}
 MACROS = {
     "ceil": lambda x: f"CAST(ceil({x}) AS DOUBLE)",
     "ceiling": lambda x: f"CAST(ceil({x}) AS DOUBLE)",
@@ -57,7 +58,7 @@ MACROS = {
     "int4mul": lambda a, b: f"({a} * {b})",
     "numeric_inc": lambda a: f"({a} + 1)",
     "width_bucket": lambda x, lo, hi=None, n=None: f"CAST(width_bucket({x}, {lo}, {hi}, {n}) AS INT)" if n else f"size(filter({lo}, b -> b <= {x}))",
-    "to_number": lambda s, f: f"CAST(regexp_replace({s}, '[^0-9.+-]', '') AS DECIMAL(38, 10))",
+    "to_number": lambda s, f: f"(CAST(regexp_replace({s}, '[^0-9.]', '') AS DECIMAL(38, 10)) * CASE WHEN {s} RLIKE '-|<|PR' THEN -1 ELSE 1 END)",
     "newavg": lambda x: f"avg({x})",
     "newsum": lambda x: f"sum({x})",
     "newcnt": lambda x="*": f"count({x})",

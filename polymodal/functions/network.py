@@ -10,7 +10,7 @@ MACROS = {
     "set_masklen": lambda a, n: f"concat(pm_inet_host({a}), '/', {n})",
     "inet_subnet_contained_by_or_equals": lambda a, b: f"pm_inet_within({a}, {b})",
     "inet_subnet_contains_or_equals": lambda a, b: f"pm_inet_within({b}, {a})",
-    "macaddr8_set7bit": lambda m: f"concat(lower(lpad(hex(CAST(conv(substring({m}, 1, 2), 16, 10) AS INT) | 2), 2, '0')), substring({m}, 3))",
+    "macaddr8_set7bit": lambda m: f"concat(lower(lpad(hex(CAST(conv(substring({m}, 1, 2), 16, 10) AS INT) | 2), 2, '0')), CASE WHEN char_length({m}) = 17 THEN concat(substring({m}, 3, 6), ':ff:fe', substring({m}, 9)) ELSE substring({m}, 3) END)",
 }
 
 

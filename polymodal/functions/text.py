@@ -98,6 +98,26 @@ def _digest(x, kind="'sha256'"):
     return f"unhex(md5({x}))" if k == "md5" else f"unhex(sha1({x}))" if k == "sha1" else f"unhex(sha2({x}, {k.removeprefix('sha')}))"
 
 
+def _charset(c: str) -> str:
+    return {"'utf8'": "'UTF-8'", "'latin1'": "'ISO-8859-1'", "'sql_ascii'": "'US-ASCII'"}.get(c.lower(), c)
+
+
+def _nth_match(s, p, start, n):
+    """Place and text of the n-th match from a place on, as a struct (pos 0 without one)."""
+    rest = f"substring({s}, __a.off + 1)"
+    found = f"regexp_instr({rest}, {p})"
+    step = f"CASE WHEN {found} = 0 THEN struct(char_length({s}) AS off, 0 AS pos, CAST(NULL AS STRING) AS hit) ELSE struct(__a.off + {found} - 1 + char_length(regexp_substr({rest}, {p})) AS off, __a.off + {found} AS pos, regexp_substr({rest}, {p}) AS hit) END"
+    return f"aggregate(sequence(1, {n}), struct({start} - 1 AS off, 0 AS pos, CAST(NULL AS STRING) AS hit), (__a, __i) -> {step})"
+
+
+def _regexp_instr(s, p, start="1", n="1", *more):
+    return f"regexp_instr({s}, {p})" if (start, n) == ("1", "1") else f"{_nth_match(s, p, start, n)}.pos"
+
+
+def _regexp_substr(s, p, start="1", n="1", *more):
+    return f"regexp_substr({s}, {p})" if (start, n) == ("1", "1") else f"{_nth_match(s, p, start, n)}.hit"
+
+
 MACROS = {
     "length": lambda s, *_: f"char_length({s})",
     "substring": _substring,
@@ -111,14 +131,14 @@ MACROS = {
     "initcap": _initcap,
     "chr": lambda n: f"decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32')",
     "to_hex": lambda n: f"lower(hex({n}))",
-    "fipshash": lambda s: f"sha2({s}, 256)",
+    "fipshash": lambda s: f"substring(sha2({s}, 256), 1, 32)",
     "quote_literal": _quote_literal,
     "quote_nullable": lambda s: f"coalesce({_quote_literal(s)}, 'NULL')",
     "quote_ident": lambda s: f"(CASE WHEN {s} RLIKE '^[a-z_][a-z0-9_]*$' THEN {s} ELSE concat('\"', replace({s}, '\"', '\"\"'), '\"') END)",
     "regexp_replace": _regexp_replace,
     "regexp_match": lambda s, p, f=None: f"pm_regexp_match({s}, {_pattern(p, f)})",
-    "regexp_substr": lambda s, p, *_: f"regexp_substr({s}, {p})",
-    "regexp_instr": lambda s, p, *_: f"regexp_instr({s}, {p})",
+    "regexp_substr": _regexp_substr,
+    "regexp_instr": _regexp_instr,
     "regexp_count": lambda s, p, start="1", f=None: f"regexp_count({s if start == '1' else f'substring({s}, {start})'}, {_pattern(p, f)})",
     "regexp_like": lambda s, p, f=None: f"({s} RLIKE {_pattern(p, f)})",
     "regexp_split_to_array": lambda s, p, f=None: f"split({s}, {_pattern(p, f)})",
@@ -137,9 +157,9 @@ MACROS = {
     "digest": _digest,
     "encode": _encode,
     "decode": _decode,
-    "convert_from": lambda x, c: f"decode({x}, {c.replace('UTF8', 'UTF-8').replace('LATIN1', 'ISO-8859-1')})",
-    "convert_to": lambda x, c: f"encode({x}, {c.replace('UTF8', 'UTF-8').replace('LATIN1', 'ISO-8859-1')})",
-    "convert": lambda x, a, b: f"encode(decode({x}, {a.replace('UTF8', 'UTF-8')}), {b.replace('UTF8', 'UTF-8')})",
+    "convert_from": lambda x, c: f"decode({x}, {_charset(c)})",
+    "convert_to": lambda x, c: f"encode({x}, {_charset(c)})",
+    "convert": lambda x, a, b: f"encode(decode({x}, {_charset(a)}), {_charset(b)})",
     "format": _format,
     "normalize": lambda s, f="'NFC'": f"pm_normalize({s}, {f})",
     "is_normalized": lambda s, f="'NFC'": f"({s} = pm_normalize({s}, {f}))",

@@ -44,6 +44,8 @@ def _zip(op):
     return lambda a, b: _same(a, b, f"zip_with({a}, {b}, (x, y) -> CAST(x {op} y AS FLOAT))")
 
 
+#: A number as text, whole ones without a point.
+_NUMBER = "regexp_replace(CAST(x AS STRING), '\\\\.0$', '')"
 MACROS = {
     "l2_distance": _l2,
     "inner_product": lambda a, b: _same(a, b, _dot(a, b)),
@@ -62,7 +64,8 @@ MACROS = {
     "vector_in": _parse,
     "halfvec_in": _parse,
     "sparsevec_in": _sparse,
-    **{k: (lambda v: f"to_json({v})") for k in ("vector_out", "halfvec_out", "sparsevec_out")},
+    **{k: (lambda v: f"concat('[', array_join(transform({v}, x -> {_NUMBER}), ','), ']')") for k in ("vector_out", "halfvec_out")},
+    "sparsevec_out": lambda v: f"concat('{{', array_join(filter(transform({v}, (x, i) -> CASE WHEN x <> 0 THEN concat(i + 1, ':', {_NUMBER}) END), e -> e IS NOT NULL), ','), '}}/', size({v}))",
     **{k: _cast for k in ("array_to_vector", "halfvec_to_vector", "sparsevec_to_vector", "vector_to_float4", "halfvec_to_float4", "array_to_halfvec", "vector_to_halfvec", "sparsevec_to_halfvec", "vector_to_sparsevec", "halfvec_to_sparsevec", "array_to_sparsevec")},
     **{f"{k}_{n}": _zip(o) for k in ("vector", "halfvec") for n, o in (("add", "+"), ("sub", "-"), ("mul", "*"))},
     **{f"{k}_concat": (lambda a, b: f"concat({a}, {b})") for k in ("vector", "halfvec")},

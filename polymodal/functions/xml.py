@@ -16,7 +16,8 @@ MACROS = {
     "xpath": lambda p, x, *_: f"xpath({x}, {p})",
     "xpath_exists": lambda p, x, *_: f"(size(xpath({x}, {p})) > 0)",
     "xmlexists": lambda p, x, *_: f"(size(xpath({x}, {p})) > 0)",
-    **{k: (lambda x: f"pm_xml_ok({x})") for k in ("xml_is_well_formed", "xml_is_well_formed_document", "xml_is_well_formed_content")},
+    "xml_is_well_formed_document": lambda x: f"pm_xml_ok({x})",
+    **{k: (lambda x: f"pm_xml_ok(concat('<x>', regexp_replace({x}, '^\\\\s*<[?]xml[^>]*>', ''), '</x>'))") for k in ("xml_is_well_formed", "xml_is_well_formed_content")},
 }
 
 

@@ -76,13 +76,15 @@ def pagerank(edges: DataFrame, v: DataFrame | None = None, damping: float = 0.85
     return rank.select(F.col("id").alias("nodeId"), F.col("r").alias("score"))
 
 
-def approximate_ppr(edges: DataFrame, source: int, tolerance: float = 1e-4, alpha: float = 0.15, most: int = 200) -> DataFrame:
-    """Forward push from one node: residuals above tolerance times the out-degree move on, all in a round at once."""
+def approximate_ppr(edges: DataFrame, source: int, tolerance: float = 1e-4, alpha: float = 0.15) -> DataFrame:
+    """Forward push from one node: residuals above tolerance times the out-degree move on, all in a round at once. Each round settles a share alpha of what it moves, so it ends for any tolerance above zero."""
+    if tolerance <= 0:
+        raise ValueError("tolerance must be above zero")
     out = cut(edges.groupBy("src").agg(_rows().cast("double").alias("out")))
     spark = edges.sparkSession
     state = spark.createDataFrame([(source, 0.0, 1.0)], "id long, p double, r double")
     hop = edges.select("src", "dst")
-    for _ in range(most):
+    while True:
         s = cut(state.join(out, state["id"] == out["src"], "left").select("id", "p", "r", F.coalesce("out", F.lit(0.0)).alias("out")))
         push = s.where((F.col("r") > 0) & (F.col("r") >= tolerance * F.greatest("out", F.lit(1.0))))
         if push.isEmpty():

@@ -44,6 +44,19 @@ class Graph:
     def _name(self, names: dict, label: str) -> str:
         return next((k for k in names if k.lower() == label.lower()), label)
 
+    def same_nodes(self, label: str) -> list[str]:
+        """Labels, lower-cased, whose nodes have this label too: those over the same table and key."""
+        name = self._name(self.nodes, label)
+        if name not in self.nodes:
+            return [label.lower()]
+        table, key = self.nodes[name]
+        return [k.lower() for k, (df, own) in self.nodes.items() if df is table and own == key]
+
+    def key_type(self) -> str:
+        """Ids are long; text if any label's key is text."""
+        kinds = [df.schema[key].dataType.simpleString() for df, key in self.nodes.values()] + [e.table.schema[c].dataType.simpleString() for e in self.edges.values() for c in (e.src, e.dst)]
+        return "string" if "string" in kinds else "long"
+
     def node_table(self, labels: list[str] | None, where: Column | None = None) -> DataFrame:
         """Columns __id, __label and the labels' own (united, if there are several)."""
         out = None
@@ -51,10 +64,10 @@ class Graph:
             if label not in self.nodes:
                 continue
             df, key = self.nodes[label]
-            one = df.select(F.col(key).cast("long").alias("__id"), F.lit(label).alias("__label"), "*")
+            one = df.select(F.col(key).cast(self.key_type()).alias("__id"), F.lit(label).alias("__label"), "*")
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         if out is None:
-            out = self.engine.spark.createDataFrame([], "__id long, __label string")
+            out = self.engine.spark.createDataFrame([], f"__id {self.key_type()}, __label string")
         return out if where is None else out.where(where)
 
     def edge_table(self, types: list[str] | None) -> DataFrame:
@@ -66,17 +79,19 @@ class Graph:
             e = self.edges[label]
             own = [c for c in e.table.columns if c not in (e.src, e.dst)]
             one = e.table.select(
-                F.xxhash64(F.lit(label), *e.table.columns).alias("__id"), F.lit(label).alias("__type"), F.col(e.src).cast("long").alias("__src"), F.col(e.dst).cast("long").alias("__dst"),
+                F.xxhash64(F.lit(label), *e.table.columns).alias("__id"), F.lit(label).alias("__type"), F.col(e.src).cast(self.key_type()).alias("__src"), F.col(e.dst).cast(self.key_type()).alias("__dst"),
                 F.lit(e.source).cast("string").alias("__sl"), F.lit(e.target).cast("string").alias("__tl"), *own,
             ).where("__src IS NOT NULL AND __dst IS NOT NULL")
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         if out is None:
-            out = self.engine.spark.createDataFrame([], "__id long, __type string, __src long, __dst long, __sl string, __tl string")
+            out = self.engine.spark.createDataFrame([], f"__id long, __type string, __src {self.key_type()}, __dst {self.key_type()}, __sl string, __tl string")
         return out
 
     def projection(self, types: list[str] | None = None, weight: str | None = None, undirected: bool = False) -> DataFrame:
         """(src, dst, weight) for algorithms; parallel edges are one edge whose weight is their sum."""
         e = self.edge_table(types)
+        if self.key_type() != "long":
+            raise ValueError("algorithms run over nodes whose keys are numbers")
         e = e.select(F.col("__src").alias("src"), F.col("__dst").alias("dst"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("weight"))
         if undirected:
             e = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,6 @@ from ..operators.recursive import cut
 from ..plans import dialect
 from ..plans.dialect import Group, Tok, find, split
 
-#: Hops after which an unbounded pattern gives up, unless no path is left earlier.
-MOST_HOPS = 64
 AGGREGATES = frozenset("count sum avg min max collect stdev stdevp stddev stddev_samp stddev_pop percentilecont percentiledisc any_value bool_and bool_or variance var_samp var_pop string_agg".split())
 _CLAUSES = (("OPTIONAL", "MATCH"), ("MATCH",), ("UNWIND",), ("WITH",), ("RETURN",), ("CALL",), ("WHERE",), ("ORDER", "BY"), ("SKIP",), ("LIMIT",), ("CREATE",), ("MERGE",), ("SET",), ("DETACH", "DELETE"), ("DELETE",), ("REMOVE",), ("YIELD",))
 
@@ -258,17 +256,24 @@ class Query:
     def add_node(self, n: Node) -> None:
         if n.var in self.bound:
             test = self.props(n.var, n.props)
-            if n.labels:
-                label = F.lower(F.col(f"`{n.var}`.__label")) == n.labels[0].lower()
-                test = label if test is None else test & label
+            for label in n.labels:
+                one = F.lower(F.col(f"`{n.var}`.__label")).isin(*self.graph.same_nodes(label))
+                test = one if test is None else test & one
             self.df = self.df if test is None else self.df.where(test)
             return
-        s = self.graph.node_table(n.labels[:1] or None).select(F.struct("*").alias(n.var))
+        s = self.labelled(n).select(F.struct("*").alias(n.var))
         self.df = s if self.df is None else self.df.crossJoin(s)
         self.bound[n.var] = "node"
         test = self.props(n.var, n.props)
         self.df = self.df if test is None else self.df.where(test)
 
+    def labelled(self, n: Node) -> DataFrame:
+        """Nodes that have all of the pattern's labels."""
+        nodes = self.graph.node_table(n.labels[:1] or None)
+        for label in n.labels[1:]:
+            nodes = nodes.where(F.lower("__label").isin(*self.graph.same_nodes(label)))
+        return nodes
+
     def edges(self, r: Rel) -> DataFrame:
         """(rel struct, from, from label, to, to label) in the pattern's direction."""
         e = self.graph.edge_table(r.types or None)
@@ -298,7 +303,7 @@ class Query:
             self.bound[r.var] = "rel" if r.hops is None else "rels"
             self.add_node(b)
             return
-        n = self.graph.node_table(b.labels[:1] or None).select(F.struct("*").alias(b.var))
+        n = self.labelled(b).select(F.struct("*").alias(b.var))
         j = j.join(n, (F.col(f"`{b.var}`.__id") == F.col("__t")) & (F.col("__tl").isNull() | (F.col(f"`{b.var}`.__label") == F.col("__tl"))))
         self.df = j.withColumn(r.var, kind).drop("__e", "__path", "__f", "__fl", "__t", "__tl")
         self.bound[b.var], self.bound[r.var] = "node", "rel" if r.hops is None else "rels"
@@ -316,7 +321,7 @@ class Query:
         kind = empty.schema["__path"].dataType
         now = now.withColumn("__path", F.array().cast(kind)).drop("__none")
         out = now if lo == 0 else None
-        for n in range(1, (hi if hi is not None else MOST_HOPS) + 1):
+        for n in range(1, hi + 1) if hi is not None else itertools.count(1):  # without an upper bound until no trail goes on
             j = now.join(hop, (F.col("__t") == F.col("__hf")) & (F.col("__hfl").isNull() | F.col("__tl").isNull() | (F.col("__tl") == F.col("__hfl"))))
             j = j.where(~F.exists("__path", lambda p: p["__id"] == F.col("__n.__id")))
             now = j.select("__f", "__fl", F.col("__ht").alias("__t"), F.col("__htl").alias("__tl"), F.concat("__path", F.array("__n")).alias("__path"))
@@ -339,7 +344,7 @@ class Query:
         kind = e.select(F.array("__e").alias("__path")).schema["__path"].dataType
         now = starts.select("__f", F.col("__f").alias("__t"), F.array().cast(kind).alias("__path"))
         seen, out = now.select("__f", "__t"), []
-        for _ in range(hi if hi is not None else MOST_HOPS):
+        for _ in range(hi) if hi is not None else itertools.count():
             j = now.join(hop, F.col("__t") == F.col("__hf")).select("__f", F.col("__ht").alias("__t"), F.concat("__path", F.array("__n")).alias("__path"))
             j = j.join(seen, ["__f", "__t"], "left_anti")
             if not every:
@@ -348,13 +353,21 @@ class Query:
             if now.isEmpty():
                 break
             out.append(now)
-            seen = cut(seen.unionAll(now.select("__f", "__t").distinct()))
+            seen = seen.unionAll(now.select("__f", "__t").distinct())  # each level is written once
         found = out[0] if out else now.limit(0)
         for x in out[1:]:
             found = found.unionAll(x)
         self.df = self.df.join(found, (F.col(f"`{a.var}`.__id") == F.col("__f")) & (F.col(f"`{b.var}`.__id") == F.col("__t"))).withColumn(r.var, F.col("__path")).drop("__path", "__f", "__t")
         self.bound[r.var] = "rels"
 
+    def pivot(self, nodes: list[Node]) -> int:
+        """Where a chain begins: at a node that is bound, so nothing is multiplied out; else at one that its properties, or a label, narrow."""
+        for wanted in (lambda n: n.var in self.bound, lambda n: n.props, lambda n: n.labels):
+            for k, n in enumerate(nodes):
+                if wanted(n):
+                    return k
+        return 0
+
     def match(self, items: list) -> None:
         used: list[Rel] = []
         for part in split(items):
@@ -365,10 +378,16 @@ class Query:
             if isinstance(part[0], Tok) and part[0].text.lower() in ("shortestpath", "allshortestpaths"):
                 short, part = part[0].text.lower(), part[1].items
             nodes, rels = self.chain(part)
-            self.add_node(nodes[0])
-            for a, r, b in zip(nodes, rels, nodes[1:]):
+            p = 0 if short else self.pivot(nodes)
+            self.add_node(nodes[p])
+            steps = list(zip(nodes, rels, nodes[1:]))
+            for a, r, b in [*steps[p:], *((b, r, a) for a, r, b in reversed(steps[:p]))]:
                 if short:
                     self.shortest(a, r, b, short.startswith("all"))
+                elif any(x is r for x in rels[:p]):
+                    self.expand(a, replace(r, direction={"out": "in", "in": "out"}.get(r.direction, r.direction)), b)
+                    if r.hops is not None:  # walked from its end
+                        self.df = self.df.withColumn(r.var, F.reverse(F.col(f"`{r.var}`")))
                 else:
                     self.expand(a, r, b)
                 for o in used:  # an edge is used once in a clause
@@ -380,7 +399,7 @@ class Query:
                             self.df = self.df.where(~F.exists(F.col(f"`{many.var}`"), lambda p, one=one: p["__id"] == F.col(f"`{one.var}`.__id")))
                 used.append(r)
             if path:
-                rel_ids = F.concat(*(F.transform(F.col(f"`{r.var}`"), lambda p: F.struct(p["__id"].alias("__id"), p["__type"].alias("__type"), p["__src"].alias("__src"), p["__dst"].alias("__dst"))) if r.hops else F.array(F.struct(*(F.col(f"`{r.var}`.{c}").alias(c) for c in ("__id", "__type", "__src", "__dst")))) for r in rels)) if rels else F.expr("slice(array(named_struct('__id', 0L, '__type', '', '__src', 0L, '__dst', 0L)), 1, 0)")
+                rel_ids = F.concat(*(F.transform(F.col(f"`{r.var}`"), lambda p: F.struct(p["__id"].alias("__id"), p["__type"].alias("__type"), p["__src"].alias("__src"), p["__dst"].alias("__dst"))) if r.hops else F.array(F.struct(*(F.col(f"`{r.var}`.{c}").alias(c) for c in ("__id", "__type", "__src", "__dst")))) for r in rels)) if rels else F.expr(f"slice(array(named_struct('__id', 0L, '__type', '', '__src', CAST(0 AS {self.graph.key_type()}), '__dst', CAST(0 AS {self.graph.key_type()}))), 1, 0)")
                 start = F.col(f"`{nodes[0].var}`.__id")
                 walk = F.aggregate(rel_ids, F.array(start), lambda acc, e: F.concat(acc, F.array(F.when(F.element_at(acc, -1) == e["__src"], e["__dst"]).otherwise(e["__src"]))))
                 self.df = self.df.withColumn(path, F.struct(walk.alias("nodes"), rel_ids.alias("rels")))

@@ -29,17 +29,18 @@ _PATHS = "sourceNodeId long, targetNodeId long, totalCost double, path array<lon
 _EMBED = "nodeId long, embedding array<double>"
 
 
-def _betweenness(e, v, sources):
-    n = v.count()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+def _betweenness(e, v, sources, scale=None):
+    if scale is None:
+        n = v.count()
+        scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
     part = L.by_source(e, sources, L.dependencies, "nodeId long, d double").groupBy("nodeId").agg(F.sum("d").alias("d"))
     return v.join(part, v["id"] == part["nodeId"], "left").select(F.col("id").alias("nodeId"), (F.coalesce("d", F.lit(0.0)) * scale).alias("score"))
 
 
 def _sampled(e, v, random_seed, top_k):
     s = v.orderBy(F.xxhash64("id", F.lit(random_seed))).limit(top_k)
-    n, k = v.count(), min(top_k, v.count())
-    return _betweenness(e, v, s).withColumn("score", F.col("score") * (n / max(k, 1)))
+    n = v.count()
+    return _betweenness(e, v, s, n / max(min(top_k, n), 1))  # the sample's sums, for all nodes
 
 
 def _dijkstra(e, source, target, weighted=True):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import functions, graph, relational, search
+from . import functions, graph, proofs, relational, search
 
-_MODULES = (relational, functions, graph, search)
+_MODULES = (relational, functions, proofs, graph, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

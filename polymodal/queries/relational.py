@@ -247,3 +247,38 @@ CASES["window_tumbling"] = (lambda s, d: streaming.tumbling(_EV(s, d), "ts", "1
 CASES["window_sliding"] = (lambda s, d: streaming.sliding(_EV(s, d), "ts", "2 hours", "1 hour", ["event_type"], F.count(F.lit(1)).alias("n")), "SELECT w AS window_start, w + INTERVAL 2 HOUR AS window_end, event_type, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w, event_type FROM events) GROUP BY ALL")
 CASES["window_session"] = (lambda s, d: streaming.sessions(_EV(s, d), "ts", "6 hours", ["user_id"], F.count(F.lit(1)).alias("n")), """WITH a AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS f FROM events),
     b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_id, count(*) AS n FROM b GROUP BY user_id, g""")
+
+
+def _script(last: str, *texts: str):
+    """Statements in a row, of which those that must fail are marked by a first "!"; the last one's rows."""
+
+    def run(spark, sf_dir):
+        e = engine(spark, sf_dir, " ".join((*texts, last)))
+        for t in texts:
+            try:
+                e.sql(t.removeprefix("!"))
+            except ValueError:
+                if not t.startswith("!"):
+                    raise
+            else:
+                if t.startswith("!"):
+                    raise AssertionError(f"should fail: {t}")
+        return e.sql(last)
+
+    return run
+
+
+_c("typed_division", "SELECT l_orderkey, l_linenumber, l_orderkey / 7 AS q, (l_partkey / 3) / 2 AS h, -l_suppkey / 4 AS n, l_quantity / 2 AS x FROM lineitem WHERE l_orderkey / 2 > 10", "SELECT l_orderkey, l_linenumber, l_orderkey // 7 AS q, (l_partkey // 3) // 2 AS h, CAST(trunc(-l_suppkey / 4.0) AS BIGINT) AS n, l_quantity / 2 AS x FROM lineitem WHERE l_orderkey // 2 > 10")
+_c("typed_casts", "SELECT l_orderkey, l_linenumber, l_extendedprice::int AS f, (l_extendedprice::numeric(20, 2))::bigint AS d, CAST(-l_extendedprice::numeric(20, 1) AS int) AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice, 0) AS INT) AS f, CAST(round(l_extendedprice::DECIMAL(20, 2), 0) AS BIGINT) AS d, CAST(round(-l_extendedprice::DECIMAL(20, 1), 0) AS INT) AS m FROM lineitem")
+_c("typed_dates", "SELECT o_orderkey, o_orderdate::date - DATE '1995-01-01' AS days, (o_orderdate::date - DATE '1995-01-01') / 7 AS weeks FROM orders", "SELECT o_orderkey, o_orderdate::DATE - DATE '1995-01-01' AS days, CAST(trunc((o_orderdate::DATE - DATE '1995-01-01') / 7.0) AS BIGINT) AS weeks FROM orders")
+_c("typed_array_append", "SELECT n_nationkey, array_to_string(ARRAY[n_nationkey, 1] || n_regionkey, ',') AS a, array_to_string(n_regionkey || ARRAY[n_nationkey, 1], ',') AS p, array_to_string(ARRAY[n_nationkey] || ARRAY[n_regionkey], ',') AS c FROM nation", "SELECT n_nationkey, n_nationkey || ',1,' || n_regionkey AS a, n_regionkey || ',' || n_nationkey || ',1' AS p, n_nationkey || ',' || n_regionkey AS c FROM nation")
+CASES["typed_sequence_rows"] = (_script("SELECT count(*) AS n, count(DISTINCT no) AS d, min(no) AS lo, max(no) AS hi FROM numbered", "CREATE SEQUENCE sq START 5 INCREMENT 2", "CREATE TABLE numbered AS SELECT c_custkey, nextval('sq') AS no FROM customer"), "SELECT count(*) AS n, count(*) AS d, 5 AS lo, 5 + 2 * (count(*) - 1) AS hi FROM customer")
+CASES["transaction_rollback"] = (_script("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey", "BEGIN", "DELETE FROM nation WHERE n_regionkey = 1", "SAVEPOINT a", "DELETE FROM nation", "ROLLBACK TO a", "COMMIT", "BEGIN", "UPDATE nation SET n_regionkey = 9", "ROLLBACK"), "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey <> 1 GROUP BY n_regionkey")
+CASES["constraint_enforced"] = (
+    _script(
+        "SELECT k, v, s, r FROM kept", "CREATE TABLE kept (k int PRIMARY KEY, v int CHECK (v >= 0), s text NOT NULL DEFAULT 'none', r int REFERENCES region (r_regionkey), UNIQUE (v, s))",
+        "INSERT INTO kept SELECT n_nationkey, n_nationkey * 2, n_name, n_regionkey FROM nation", "!INSERT INTO kept VALUES (1, 100, 'x', 1)", "!INSERT INTO kept VALUES (100, -1, 'x', 1)", "!INSERT INTO kept VALUES (100, 1, NULL, 1)",
+        "!INSERT INTO kept VALUES (100, 1, 'x', 77)", "INSERT INTO kept (k, v) VALUES (100, 1)", "!INSERT INTO kept (k, v) VALUES (101, 1)", "!UPDATE kept SET v = v - 3", "!DELETE FROM region WHERE r_regionkey = 2", "!ALTER TABLE kept ADD CONSTRAINT odd CHECK (k < 50)",
+    ),
+    "SELECT n_nationkey AS k, n_nationkey * 2 AS v, n_name AS s, n_regionkey AS r FROM nation UNION ALL SELECT 100, 1, 'none', NULL",
+)

@@ -218,3 +218,47 @@ def test_patterns_inside_expressions(town):
     assert q("MATCH (p:person) WHERE COUNT { (p)--(:person) } > 1 OR p.id = 3 RETURN p.id AS i") == [(2,), (3,)]
     assert town.query("MATCH (p:person {id: 1}) RETURN p {.name, older: p.age + 1} AS m").first()["m"].asDict() == {"name": "Alice", "older": 31}
     assert q("MATCH (p:person) WHERE p.name =~ 'A.*' RETURN p.name AS n, size([x IN [1, 2, 3] WHERE x > 1]) AS k, none(x IN [1] WHERE x = 2) AS o") == [("Alice", 2, True)]
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    e = Engine(spark)
+    e.register("chain", spark.createDataFrame([(i, i + 1) for i in range(70)], "a long, b long"))
+    e.register("spots", spark.createDataFrame([(i, f"s{i}") for i in range(71)], "id long, name string"))
+    e.register("others", spark.createDataFrame([(1, "x")], "id long, name string"))
+    g = e.graph
+    g.node_label("Spot", "spots", "id").node_label("Place", "spots", "id").node_label("Other", "others", "id").edge_label("N", "chain", "Spot", "Spot", "a", "b")
+    return g
+
+
+def test_long_ways_are_found(small):
+    assert small.query("MATCH p = shortestPath((a:Spot)-[:N*]->(b:Spot)) WHERE a.id = 0 AND b.id = 70 RETURN length(p) AS n").collect()[0]["n"] == 70
+    assert small.query("MATCH (a:Spot {id: 0})-[r:N*]->(b:Spot) RETURN max(size(r)) AS n").collect()[0]["n"] == 70
+
+
+def test_all_labels_must_hold(small):
+    count = lambda p: small.query(f"MATCH {p} RETURN count(*) AS n").collect()[0]["n"]
+    assert count("(x:Spot)") == 71 == count("(x:Spot:Place)") and count("(x:Spot:Other)") == 0
+    assert count("(x:Spot)-[:N]->(y:Spot:Other)") == 0 and count("(x:Spot)-[:N]->(y:Place:Spot)") == 0 and count("(x:Spot)-[:N]->(y:Spot:Place)") == 70
+
+
+def test_a_chain_begins_where_it_is_bound(small):
+    q = "MATCH (a:Spot)-[:N]->(b:Spot), (c:Spot)-[:N*1..2]->(d:Spot)-[:N]->(b) RETURN a.id AS a, b.id AS b, c.id AS c"
+    df = small.query("MATCH (a:Spot)-[:N]->(b:Spot), (c:Spot)-[:N]->(b) RETURN a.id AS a")
+    assert "CartesianProduct" not in df._jdf.queryExecution().optimizedPlan().toString() and "Join Cross" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 0
+    assert sorted(map(tuple, small.query(q.replace("a.id AS a, ", "")).collect())) == []
+    two = small.query("MATCH (b:Spot {id: 5}) MATCH (c:Spot)-[r:N*2..2]->(b) RETURN c.id AS c, [x IN r | x.a] AS via").collect()
+    assert [(r["c"], list(r["via"])) for r in two] == [(3, [3, 4])]
+
+
+def test_text_keys(spark):
+    e = Engine(spark)
+    e.register("p", spark.createDataFrame([("ann", 1), ("bob", 2)], "id string, n long"))
+    e.register("k", spark.createDataFrame([("ann", "bob")], "a string, b string"))
+    e.graph.node_label("P", "p", "id").edge_label("K", "k", "P", "P", "a", "b")
+    assert [tuple(r) for r in e.graph.query("MATCH (x:P)-[:K]->(y:P) RETURN x.id AS x, y.n AS n").collect()] == [("ann", 2)]
+
+
+def test_sampled_betweenness_is_the_samples_sum(small):
+    got = {r["nodeId"]: r["score"] for r in small.query("CALL graph.sampledBetweenness({top_k: 71}) YIELD nodeId, score RETURN nodeId, score").collect()}
+    assert got[1] == pytest.approx(69) and got[35] == pytest.approx(35 * 35) and got[0] == 0
