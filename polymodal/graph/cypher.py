@@ -17,6 +17,8 @@ from ..operators.recursive import cut
 from ..plans import dialect
 from ..plans.dialect import Group, Tok, find, split
 
+#: Levels of a search after which those before are written together, so that plans stay small.
+COMPACT = 16
 AGGREGATES = frozenset("count sum avg min max collect stdev stdevp stddev stddev_samp stddev_pop percentilecont percentiledisc any_value bool_and bool_or variance var_samp var_pop string_agg".split())
 _CLAUSES = (("OPTIONAL", "MATCH"), ("MATCH",), ("UNWIND",), ("WITH",), ("RETURN",), ("CALL",), ("WHERE",), ("ORDER", "BY"), ("SKIP",), ("LIMIT",), ("CREATE",), ("MERGE",), ("SET",), ("DETACH", "DELETE"), ("DELETE",), ("REMOVE",), ("YIELD",))
 
@@ -323,7 +325,8 @@ class Query:
         out = now if lo == 0 else None
         for n in range(1, hi + 1) if hi is not None else itertools.count(1):  # without an upper bound until no trail goes on
             j = now.join(hop, (F.col("__t") == F.col("__hf")) & (F.col("__hfl").isNull() | F.col("__tl").isNull() | (F.col("__tl") == F.col("__hfl"))))
-            j = j.where(~F.exists("__path", lambda p: p["__id"] == F.col("__n.__id")))
+            if n > 1:
+                j = j.where(~F.exists("__path", lambda p: p["__id"] == F.col("__n.__id")))
             now = j.select("__f", "__fl", F.col("__ht").alias("__t"), F.col("__htl").alias("__tl"), F.concat("__path", F.array("__n")).alias("__path"))
             if hi is None or n >= 3:
                 now = cut(now)
@@ -331,6 +334,8 @@ class Query:
                     break
             if n >= lo:
                 out = now if out is None else out.unionAll(now)
+                if n % COMPACT == 0:
+                    out = cut(out)
         return out if out is not None else now.limit(0)
 
     def shortest(self, a: Node, r: Rel, b: Node, every: bool) -> None:
@@ -353,7 +358,9 @@ class Query:
             if now.isEmpty():
                 break
             out.append(now)
-            seen = seen.unionAll(now.select("__f", "__t").distinct())  # each level is written once
+            seen = seen.unionAll(now.select("__f", "__t").distinct())
+            if len(out) % COMPACT == 0:
+                seen = cut(seen)
         found = out[0] if out else now.limit(0)
         for x in out[1:]:
             found = found.unionAll(x)
@@ -396,7 +403,7 @@ class Query:
                             self.df = self.df.where(F.col(f"`{o.var}`.__id") != F.col(f"`{r.var}`.__id"))
                         elif o.hops is None or r.hops is None:
                             one, many = (o, r) if o.hops is None else (r, o)
-                            self.df = self.df.where(~F.exists(F.col(f"`{many.var}`"), lambda p, one=one: p["__id"] == F.col(f"`{one.var}`.__id")))
+                            self.df = self.df.where(~F.expr(f"exists(`{many.var}`, __p -> __p.__id = `{one.var}`.__id)"))
                 used.append(r)
             if path:
                 rel_ids = F.concat(*(F.transform(F.col(f"`{r.var}`"), lambda p: F.struct(p["__id"].alias("__id"), p["__type"].alias("__type"), p["__src"].alias("__src"), p["__dst"].alias("__dst"))) if r.hops else F.array(F.struct(*(F.col(f"`{r.var}`.{c}").alias(c) for c in ("__id", "__type", "__src", "__dst")))) for r in rels)) if rels else F.expr(f"slice(array(named_struct('__id', 0L, '__type', '', '__src', CAST(0 AS {self.graph.key_type()}), '__dst', CAST(0 AS {self.graph.key_type()}))), 1, 0)")

@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder all executors share (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+_written: dict[str, SparkSession] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder that all executors share (a temporary one only where none is set, with a local master)."""
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not top:
         if not re.match(r"local(\[|$)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='polymodal-')}")
-    return df.checkpoint()
+        top = f"file://{tempfile.mkdtemp(prefix='polymodal-')}"
+        sc.setCheckpointDir(top)
+    return top.rstrip("/")
+
+
+def _storable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return bool(kind.fields) and all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, (T.NullType, T.CalendarIntervalType, T.VariantType))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage: df is written once to the folder all executors share and read back, so its size is known to the planner. What Parquet can't hold is checkpointed there."""
+    spark = df.sparkSession
+    top = _folder(spark)
+    if not _storable(df.schema) or len({c.lower() for c in df.columns}) < len(df.columns):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(top)
+        return df.checkpoint()
+    path = f"{top}/polymodal-{uuid.uuid4().hex}"
+    _written[path] = spark
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_written() -> None:
+    for path, spark in _written.items():
+        try:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the JVM has gone; the folder is temporary anyway
+            return
 
 
 def fixpoint(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, most: int = 10_000) -> DataFrame:
