@@ -2,7 +2,7 @@
 
 A shard is an Arrow IPC file whose rows are sequences of ``length`` ids (uint16 where the vocabulary allows, else uint32) and the mask of those that are
 real; only a shard's last row is padded. Rows have one size, so any range of tokens is an address: readers map the file and get
-views without copying, of ids and masks alike. Beside each shard lies an index (doc_id, start in the shard, n_tokens). Documents are dealt to shards by range of doc_id, so
+views without copying: arrays of ids, and of masks the bits as Arrow holds them. Beside each shard lies an index (doc_id, start in the shard, n_tokens). Documents are dealt to shards by range of doc_id, so
 shards in order are all documents in order. A shard and its index carry the name of the attempt that wrote them, and the manifest, which only
 successful attempts enter, says which belong together: what a lost or repeated attempt leaves behind is never read.
 """
@@ -36,7 +36,7 @@ class TokenWriter:
     def __init__(self, sink, length: int, wide: bool):
         kind = pa.uint32() if wide else pa.uint16()
         self.dtype, self.length, self.buffer, self.held = np.dtype("<u4" if wide else "<u2"), length, [], 0
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = ipc.new_file(sink, self.schema)
         self.total = 0
 
@@ -54,8 +54,8 @@ class TokenWriter:
             self.buffer, self.held = [flat[whole:]], len(flat) - whole
 
     def _rows(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
+        mask = np.zeros(len(flat), bool)
+        mask[:real] = True
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -68,7 +68,7 @@ class TokenWriter:
 
 
 class TokenFile:
-    """Random access to a shard: tokens() of any range, sequence() and mask() of any row. Within a batch these are views of the mapped file."""
+    """Random access to a shard: tokens() of any range, sequence() and mask() of any row. Within a batch these are views of the mapped file, masks as Arrow's bits."""
 
     def __init__(self, uri: str):
         from pyarrow import fs
@@ -87,9 +87,9 @@ class TokenFile:
     def sequence(self, row: int) -> np.ndarray:
         return self.tokens(row * self.length, self.length)
 
-    def mask(self, row: int) -> np.ndarray:
-        col = self._get(row // BATCH).column("mask")
-        return col.flatten().to_numpy(zero_copy_only=True)[row % BATCH * self.length : (row % BATCH + 1) * self.length]
+    def mask(self, row: int) -> pa.BooleanArray:
+        """A view of the mapped bits."""
+        return self._get(row // BATCH).column("mask").flatten().slice(row % BATCH * self.length, self.length)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         size, out = self.length * BATCH, []
