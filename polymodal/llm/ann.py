@@ -73,7 +73,7 @@ def decode(codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
 
 def lookup_scores(queries: np.ndarray, codes: np.ndarray, codebooks: np.ndarray) -> np.ndarray:
     """[code, query] inner products of queries with what codes decode to, by one table row a book."""
-    out = np.zeros((len(codes), len(queries)))
+    out = np.zeros((len(codes), len(queries)), np.float32)
     for m, c in enumerate(codebooks):
         out += (c @ queries.T)[codes[:, m]]
     return out
@@ -94,25 +94,32 @@ def _matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of rows, and rows of length one; scaled first so that squares neither overflow nor vanish."""
+    most = np.abs(x).max(axis=1)
+    x = x / most[:, None]
+    size = np.sqrt((x * x).sum(axis=1))
+    return most * size, x / size[:, None]
+
+
 def _encoder(codebooks: np.ndarray):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column(1)).astype(np.float64)
-            most = np.abs(x).max(axis=1)  # so that squares neither overflow nor vanish
-            norm = most * np.sqrt(((x / most[:, None]) ** 2).sum(axis=1))
-            codes = encode(x / norm[:, None], codebooks)
+            norm, unit = _lengths(_matrix(b.column(1)).astype(np.float64))
+            codes = encode(unit, codebooks)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), b.column(2)], names=["vec_id", "code", "norm", "block"])
 
     return run
 
 
 def estimates(queries: np.ndarray, codes: np.ndarray, norms: np.ndarray, codebooks: np.ndarray, metric: str) -> np.ndarray:
-    """[query, code]: inner products, or for l2 what grows as distances fall."""
+    """[query, code]: inner products in the query's direction, or for l2 what grows as distances fall. Tables are in single precision, over queries of length one."""
+    size, unit = _lengths(queries)
     with np.errstate(over="ignore"):
-        ip = lookup_scores(queries, codes, codebooks).T * norms
-        return ip if metric == "ip" else 2 * ip - norms * norms
+        ip = lookup_scores(unit.astype(np.float32), codes, codebooks).T * norms
+        return ip if metric == "ip" else 2 * ip * size[:, None] - norms * norms
 
 
 def _search(codebooks: np.ndarray, rerank: int, metric: str):
@@ -182,8 +189,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, metric: str = "ip", id_co
     if not n or not n_queries:
         return empty
     sample = _matrix(x.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "vector").limit(SAMPLE).select("vector").toArrow().column(0)).astype(np.float64)
-    sample /= np.abs(sample).max(axis=1)[:, None]
-    codebooks = train(sample / np.sqrt((sample * sample).sum(axis=1))[:, None])
+    codebooks = train(_lengths(sample)[1])
     blocks, query_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
     block = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int")
     coded = materialise(x.select("vec_id", "vector", block.alias("block")).mapInArrow(_encoder(codebooks), "vec_id long, code binary, norm double, block int"), "codes")
