@@ -143,3 +143,15 @@ def test_pipeline_stages(spark, sf):
     again = corpus_pipeline.run(spark, sf).collect()
     key = lambda r: (r["doc_id"], r["piece"], r["ids_crc32"])
     assert Counter(map(key, again)) == Counter(map(key, final))
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = "some plain words of a text that goes on for a while with more words than one line holds"
+    rows = [(1, text, "en", "a", None, 5), (2, text.upper(), "en", "a", "x", 5), (3, None, "en", "b", "x", None), (4, "", None, None, "x", 5), (5, text + " changed", "en", "b", "x", 5), (6, (text + " ") * 30, "en", "b", "x", 5), (7, "12 34 !!", "en", "b", "x", 5), (None, "another text without an id " * 3, "en", "b", "x", 5)]
+    schema = "doc_id long, text string, lang string, source string, `a.b` string, epochs long"
+    for n, (name, some) in enumerate((("odd", rows), ("none", []))):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        kept = {r["doc_id"] for r in out}
+        assert kept == ({2, 6, None} if not n else set())  # of equal texts the largest id, then of similar ones the smallest
