@@ -121,6 +121,32 @@ def test_recall_where_few_are_reranked(spark):
             assert all(r["score"] == float((x[r["query_id"]] * x[r["vec_id"]]).sum()) for r in rows[:50])
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_recall_on_rows_without_structure(spark, metric):
+    """10,000 rows of 100 dimensions in no clusters, a fifth of them outside the sample, and lengths that differ: codes of one length for all dimensions miss most."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(10000, 100)) * rng.uniform(0.9, 1.1, size=(10000, 1))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows, hits = ann.nearest(df, df["vec_id"] % 100 == 0, metric=metric).collect(), 0
+    for q in range(0, 10000, 100):
+        s = x @ x[q] if metric == "ip" else -((x - x[q]) ** 2).sum(1)
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {r["vec_id"] for r in rows if r["query_id"] == q})
+    assert hits / (20 * 100) >= 0.99
+
+
+def test_margins_hold_what_estimates_miss():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 20))
+    norm, unit = ann._lengths(x)
+    books = ann.train(unit, words=32, fine=2)
+    codes, q = ann.encode(unit, books), rng.normal(size=(9, 20))
+    for metric, truth in (("ip", ann._lengths(q)[1] @ x.T), ("l2", 2 * q @ x.T - norm * norm)):
+        off = np.abs(ann.estimates(q, codes, norm, books, metric) - truth)
+        assert (off <= ann.margins(q, norm, ann.residuals(unit, codes, books), 1.0, metric)).all()
+    assert 0 < ann.error_share(q, unit, books) <= 1
+
+
 def test_threshold_search_has_no_limit(spark, sf):
     from polymodal.queries.search import CASES
 
