@@ -1,15 +1,28 @@
 """Operators, sources, streams and search in corner cases."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polymodal import search, sources, streaming
+from polymodal import Engine, search, sources, streaming
 from polymodal.operators import aggregates, dml, joins, recursive, sequences
 from polymodal.search.ivf import IvfIndex
 from polymodal.search.quantize import BinaryQuantizer, ProductQuantizer, ScalarQuantizer
 
 
+def test_full_outer_join_keeps_no_pairs_of_a_key(spark):
+    """Generated code of this join holds all matches of a key in memory before the first leaves it: a plan of the engine has none."""
+    e = Engine(spark)
+    e.register("fl", spark.createDataFrame([(1, 1, 5.0), (2, 1, 1.0), (3, None, 9.0), (4, 7, 9.0)], "a int, k int, x double"))
+    e.register("fr", spark.createDataFrame([(10, 1, 4.0), (11, 1, 6.0), (12, None, 0.0), (13, 1, 0.5)], "b int, j int, y double"))
+    df = e.sql("SELECT a, b FROM fl FULL OUTER JOIN fr ON k = j AND x > y")
+    assert set(map(tuple, df.collect())) == {(1, 10), (1, 13), (2, 13), (3, None), (4, None), (None, 11), (None, 12)} and df.count() == 7
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in plan and not re.search(r"\*\(\d+\) SortMergeJoin[^\n]*FullOuter", plan)
+
+
 def test_asof_and_interval_joins(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9), ("c", 1)], "k string, t int")
     right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("b", 10, "z")], "k string, t int, v string")
